@@ -57,7 +57,7 @@ WITH l AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (
   SELECT doc_id, text, ls,
-         list_filter(range(len(ls)), i -> regexp_matches(ls[i + 1], '[^\x20\x09-\x0D]')) AS ps FROM l),
+         list_filter(range(len(ls)), lambda i: regexp_matches(ls[i + 1], '[^\x20\x09-\x0D]')) AS ps FROM l),
 x AS (
   SELECT doc_id, ps, ls, unnest(range(len(ps) - 2)) AS i FROM w WHERE len(ps) >= 3),
 y AS (
@@ -69,6 +69,6 @@ g AS (
 SELECT l.doc_id, CAST(coalesce(len(l.ls), 0) AS INTEGER) AS n_lines,
        CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed,
        sha256(CASE WHEN gone IS NULL THEN l.text ELSE
-         array_to_string(list_transform(list_filter(range(len(l.ls)), i -> NOT list_contains(gone, i)), i -> l.ls[i + 1]), chr(10)) END) AS kept_sha256
+         array_to_string(list_transform(list_filter(range(len(l.ls)), lambda i: NOT list_contains(gone, i)), lambda i: l.ls[i + 1]), chr(10)) END) AS kept_sha256
 FROM l LEFT JOIN g USING (doc_id)
 """
