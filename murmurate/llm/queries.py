@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, packing, quality
+from . import bpe, langid, licenses, line_dedup, packing, quality
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    return langid.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_line_dedup": op7_line_dedup,
 }
