@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, line_dedup, packing, quality
+from . import bpe, embeddings, langid, licenses, line_dedup, packing, quality
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -55,9 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_line_dedup": op7_line_dedup,
+    "op8_embeddings": op8_embeddings,
 }
 
 ORACLES: dict[str, str] = {
     "op6_licenses": licenses.oracle(),
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_embeddings": embeddings.ORACLE,
 }
