@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, licenses, line_dedup, packing, quality
+from . import bpe, embeddings, langid, licenses, line_dedup, near_dedup, packing, quality
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(table(spark, sf_dir, "documents"))
     return langid.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_line_dedup": op7_line_dedup,
