@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, licenses, line_dedup, near_dedup, packing, quality
+from . import bpe, embeddings, langid, licenses, line_dedup, near_dedup, packing, quality, substring_dedup
 from .common import table
 
 
@@ -56,6 +56,11 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link(table(spark, sf_dir, "embeddings"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
     "op7_line_dedup": op7_line_dedup,
     "op8_embeddings": op8_embeddings,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
