@@ -20,8 +20,8 @@ BASE, RATE, TOP = 1.02, 20.0, 65535
 #: Log-likelihood by which a pair's best similarity must beat all those that link before the
 #: pair is given up without proof: odds of e ** 18.
 DOUBT = 18.0
-#: Buckets up to this many members are compared pair by pair; larger ones are cut by more bands.
-SMALL, LEVELS = 48, 3
+#: Rounds of stars, and the most members and unsettled members of a bucket compared at a time.
+STARS, BLOCK, ASKS = 2, 4096, 1024
 #: The most members of a hub that one group of the proof holds, and words of the id bitmap.
 SHARE, BITMAP = 1024, 1 << 18
 #: Links: 100 * intersection >= PERCENT * union.
@@ -188,25 +188,24 @@ def _proved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Proven links, the components they make, and the pairs that were looked at."""
+    """Proven links and the components they make."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
-        self.edges = self.labels = self.seen = None
-
-    def add(self, pairs: DataFrame) -> None:
-        """Prove candidate pairs as far as components can still change: for each row its likeliest
-        partner first, then whatever still joins two components."""
-        pairs = pairs.distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        maybe = written(_estimated(pairs, self.classes))
-        best = maybe.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b")
-        first = self._prove(self.across(best))
-        rest = maybe.select("a", "b") if first is None else maybe.select("a", "b").join(first, ["a", "b"], "left_anti")
-        self._prove(self.across(rest))
+        self.edges = self.labels = None
+
+    def stars(self, pairs: DataFrame) -> None:
+        """Pair each ``b`` with its smallest ``a`` of another component, and prove it."""
+        one = self.across(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        self._prove(_estimated(one, self.classes).select("a", "b"))
+
+    def rest(self, maybe: DataFrame) -> None:
+        """Prove candidates ``a, b, j``: the likeliest partner of each ``b`` first, then whatever
+        still joins two components."""
+        maybe = written(maybe)
+        first = self._prove(maybe.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b"))
+        if first is not None:
+            self._prove(self.across(maybe.select("a", "b").join(first, ["a", "b"], "left_anti")))
 
     def _prove(self, pairs: DataFrame) -> DataFrame | None:
         pairs = written(pairs)
@@ -227,6 +226,70 @@ class _Links:
         return self.labelled(self.labelled(pairs, "a", "_ca"), "b", "_cb").where("_ca <> _cb").select("a", "b")
 
 
+def _unsettled(still: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs across components inside buckets that their sketches do not exclude: ``a, b, j``.
+
+    ``still``: ``band, key, rep, c``, the members of buckets with several components ``c``. A
+    bucket's largest component is settled; each other member is compared with all members.
+    Large buckets are dealt over blocks of members times blocks of unsettled ones. Pairs stay
+    inside the comparison: what leaves it may link. A pair that shares several bands is looked
+    at in the first alone."""
+    parts = still.groupBy("key", "c").agg(F.count("*").alias("_n"))
+    modes = parts.groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("mode"), F.sum("_n").alias("n"), F.max("_n").alias("_most"))
+    sized = modes.select("key", "mode", F.ceil(F.col("n") / BLOCK).cast("int").alias("ns"), F.ceil((F.col("n") - F.col("_most")) / ASKS).cast("int").alias("nq"))
+    rows = still.join(sized, "key").join(classes, "rep")
+    deal = lambda by, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(by)).cast("int")
+    each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    own = ["band", "rep", "c", "n", "sketch"]
+    stored = rows.select("key", deal("ns", 1).alias("sb"), each("nq").alias("qb"), F.lit(0).alias("asks"), (F.col("c") != F.col("mode")).alias("open"), *own)
+    asking = rows.where("c <> mode").select("key", each("ns").alias("sb"), deal("nq", 2).alias("qb"), F.lit(1).alias("asks"), F.lit(True).alias("open"), *own)
+
+    def compare(held):
+        import numpy as np
+
+        band, rep, c, n, asks, unsettled = (np.concatenate([h[k] for h in held]) for k in range(6))
+        regs = np.frombuffer(b"".join(x for h in held for x in h[6]), np.uint16).reshape(-1, REGISTERS)
+        keys = regs.view(np.uint64)
+        s, out = np.flatnonzero(asks == 0), []
+        for q in np.flatnonzero(asks == 1):
+            y = s[(c[s] != c[q]) & (~unsettled[s] | (rep[s] > rep[q])) & (100 * np.minimum(n[s], n[q]) >= PERCENT * np.maximum(n[s], n[q]))]
+            y = y[(keys[y] == keys[q]).argmax(1) == band[q]]
+            if len(y):
+                j, beaten = estimate(np.broadcast_to(regs[q], (len(y), REGISTERS)), regs[y], np.full(len(y), float(n[q])), n[y].astype(np.float64))
+                keep = beaten < DOUBT
+                out.append((np.full(int(keep.sum()), rep[q]), rep[y[keep]], j[keep]))
+        if not out:
+            return None
+        x, y, j = (np.concatenate([o[k] for o in out]) for k in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(j)], names=["a", "b", "j"])
+
+    def run(batches):
+        import numpy as np
+
+        now, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(group)]))
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(group[lo]) != now:
+                    found = compare(held)
+                    if found is not None:
+                        yield found
+                    held = []
+                now = tuple(group[lo])
+                part = b.slice(lo, hi - lo)
+                held.append([part.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7, 8, 3, 4)] + [part.column(9).to_pylist()])
+        if held:
+            found = compare(held)
+            if found is not None:
+                yield found
+
+    columns = ["key", "sb", "qb", "asks", "open", *own]
+    return stored.union(asking).select(*columns).repartition("key", "sb", "qb").sortWithinPartitions("key", "sb", "qb").mapInArrow(run, "a long, b long, j double")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's ``id_col, n_shingles, component_id, kept``.
 
@@ -239,35 +302,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gives an empty one.
 
     Rows with equal sets become one class by a partial aggregation. A class has BANDS band keys
-    of SetSketch registers. In every bucket all members are paired with the smallest one (a
-    star, not all pairs); the likelihood of the two sketches discards pairs; the rest is proved
-    on full sets, for each member its likeliest partner first. Then only buckets that still
-    hold several components matter: small ones are compared across components pair by pair,
-    larger ones are cut by agreement in a further band and looked at again, at the last level
-    whatever their size. Nothing is capped. Sketches, candidates and links are written to the
-    shared folder after each step and never collected.
+    of SetSketch registers. In rounds of stars each class is paired with the smallest class of
+    its buckets that is not in its component yet: the likelihood of the two sketches discards
+    pairs, the rest is proved on full sets. Then only buckets that still hold several components
+    matter; there each class outside the largest component is compared with all others, sketch
+    by sketch inside the tasks, and what may link is proved, each class's likeliest partner
+    first, as far as components can still change. Nothing is capped. Sketches, candidates and
+    links are written to the shared folder after each step and never collected.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = written(_sets(own))
     classes = written(sets.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    links = _Links(own, classes.select("rep", "n", "sketch"))
+    sketches = classes.select("rep", "n", "sketch")
+    links = _Links(own, sketches)
     buckets = _bands(classes)
-    for level in range(1, LEVELS + 1):
-        shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_most")).where("hub < _most").select("key", "hub")
-        members = written(buckets.join(shared, "key").select("band", "key", "rep", "hub"))
-        links.add(members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-        # What still holds several components is few; a self-join of small buckets is bounded.
-        now = links.labelled(members.select("band", "key", "rep"), "rep", "c")
-        split = now.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
-        still = written(now.join(split.select("key", "_n"), "key"))
-        small = still if level == LEVELS else still.where(F.col("_n") <= SMALL)
-        other = small.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        links.add(small.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b AND ca <> cb").select("a", "b"))
-        large = still.where(F.col("_n") > SMALL)
-        if level == LEVELS or large.limit(1).count() == 0:
-            break
-        further = members.select(F.col("band").alias("band2"), F.col("key").alias("key2"), "rep")
-        buckets = large.select("band", "key", "rep").join(further, "rep").where("band2 > band").select(F.col("band2").alias("band"), F.xxhash64("key", "key2").alias("key"), "rep")
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_most")).where("hub < _most").select("key", "hub")
+    members = written(buckets.join(shared, "key").select("band", "key", "rep", "hub"))
+    for _ in range(STARS):
+        links.stars(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    now = links.labelled(members.select("band", "key", "rep"), "rep", "c")
+    split = now.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("key")
+    links.rest(_unsettled(written(now.join(split, "key")), sketches))
     result = links.labelled(classes.select("key", "rep"), "rep", "component")
     out = sets.select("id", "n", "key").join(result.select("key", "component"), "key", "left")
     component = F.coalesce("component", "id")
