@@ -72,7 +72,7 @@ class Model:
         import numpy as np
 
         self.languages = languages
-        c = np.asarray(counts, np.float64) + 0.5
+        c = np.asarray(counts, np.float64) + 0.05
         self.logp = np.log(c / c.sum(1, keepdims=True)).T.copy() if len(languages) else np.zeros((BUCKETS, 0))
         p = np.exp(self.logp)
         self.mean = (p * self.logp).sum(0)
