@@ -18,8 +18,9 @@ REGISTERS = BANDS * ROWS
 #: Base of the exponential spacing, rate of the elements' variables, largest register value.
 BASE, RATE, TOP = 1.02, 20.0, 65535
 #: Log-likelihood by which a pair's best similarity must beat all those that link before the
-#: pair is given up without proof: odds of e ** 18.
-DOUBT = 18.0
+#: pair is given up without proof: four standard deviations. Pairs just above the least
+#: similarity that links are given up with probability 3e-5, more similar ones hardly ever.
+DOUBT = 8.0
 #: Rounds of stars, and the most members and unsettled members of a bucket compared at a time.
 STARS, BLOCK, ASKS = 2, 4096, 1024
 #: The most members of a hub that one group of the proof holds, and words of the id bitmap.
@@ -140,21 +141,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, j double")
 
 
-def _proved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(a, b)`` of the pairs that link on full sets.
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, text`` of the rows with some ids and, by chance, of others, which a join drops: a
+    bitmap of fixed size of the ids goes to the scan, so that no other text is moved."""
+    import numpy as np
 
-    Texts of pairs alone are moved: a bitmap of fixed size of their ids goes to the scan, whose
-    false positives are lost in the joins. A hub's members are dealt over groups of about
-    SHARE, the hub's text goes to each group once, and its set is made there once."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP * 64))
     words = ids.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).toArrow()
-    import numpy as np
-
     table = np.zeros(BITMAP, np.uint64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    bitmap = spark.sparkContext.broadcast(table)
+    bitmap = docs.sparkSession.sparkContext.broadcast(table)
 
     def some(batches):
         for b in batches:
@@ -162,29 +158,61 @@ def _proved(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array((bitmap.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["id", "text"])
 
-    texts = docs.select("id", "text", bit.alias("bit")).mapInArrow(some, "id long, text string")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("ng"))
-    dealt = written(pairs.select("a", "b").join(groups, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("ng")).cast("int")))
-    members = dealt.withColumnRenamed("b", "id").join(texts, "id").select("a", "g", F.col("id").alias("b"), "text")
-    hubs = dealt.select("a", "g").distinct().withColumnRenamed("a", "id").join(texts, "id").select(F.col("id").alias("a"), "g", F.lit(None).cast("long").alias("b"), "text")
-
-    def prove(batches):
-        now, hub = None, None
-        for batch in batches:
-            out = []
-            for a, g, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                own = shingle_set(text.as_py())
-                if b is None:
-                    now, hub = (a, g), own
-                    continue
-                if now != (a, g):
-                    raise ValueError(f"no text for {a}")
-                both = len(np.intersect1d(hub, own, assume_unique=True))
-                if 100 * both >= PERCENT * (len(hub) + len(own) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return members.union(hubs).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first()).mapInArrow(prove, "a long, b long")
+    return docs.select("id", "text", bit.alias("bit")).mapInArrow(some, "id long, text string")
+
+
+def _proved(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` proved on full sets, as many as connect what is linked.
+
+    ``groups``: ``g, id, c, asks``: inside a group each member that asks is compared exactly with
+    all members of other components ``c``, and links that join nothing new are left out. A text
+    goes to each of its groups once, and its set is made there once; pairs are never rows."""
+    texts = _texts(docs, groups.select("id").distinct())
+    rows = groups.join(texts, "id").select("g", "id", "c", "asks", "text")
+
+    def prove(ids, parts, asks, sets):
+        import numpy as np
+
+        label = {x: x for x in parts}
+
+        def root(x):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        sizes = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
+        mine = np.zeros(int(flat.max()) + 1, np.int32)
+        parts = np.array(parts)
+        found = []
+        for q in np.flatnonzero(asks):
+            own = flat[begins[q] : begins[q] + sizes[q]]
+            mine[own] = 1
+            both = np.add.reduceat(mine[flat], begins)
+            mine[own] = 0
+            for y in np.flatnonzero((100 * both >= PERCENT * (sizes + sizes[q] - both)) & (parts != parts[q])):
+                a, b = root(parts[q]), root(parts[y])
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+                    found.append((ids[q], ids[y]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        now, held = None, ([], [], [], [])
+        for b in batches:
+            for g, i, c, asks, text in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                if g != now and held[0]:
+                    yield prove(*held)
+                    held = ([], [], [], [])
+                now = g
+                for x, value in zip(held, (i, c, asks, shingle_set(text.as_py())), strict=True):
+                    x.append(value)
+        if held[0]:
+            yield prove(*held)
+
+    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(run, "a long, b long")
 
 
 class _Links:
@@ -195,26 +223,21 @@ class _Links:
         self.edges = self.labels = None
 
     def stars(self, pairs: DataFrame) -> None:
-        """Pair each ``b`` with its smallest ``a`` of another component, and prove it."""
+        """Pair each ``b`` with its smallest ``a`` of another component, and prove it: a hub with
+        some SHARE of its members is a group."""
         one = self.across(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        self._prove(_estimated(one, self.classes).select("a", "b"))
-
-    def rest(self, maybe: DataFrame) -> None:
-        """Prove candidates ``a, b, j``: the likeliest partner of each ``b`` first, then whatever
-        still joins two components."""
-        maybe = written(maybe)
-        first = self._prove(maybe.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b"))
-        if first is not None:
-            self._prove(self.across(maybe.select("a", "b").join(first, ["a", "b"], "left_anti")))
-
-    def _prove(self, pairs: DataFrame) -> DataFrame | None:
-        pairs = written(pairs)
-        if pairs.limit(1).count() == 0:
-            return None
-        found = written(_proved(self.docs, pairs))
-        self.edges = found if self.edges is None else self.edges.union(found)
-        self.labels = components(self.edges)
-        return pairs
+        maybe = written(_estimated(one, self.classes).select("a", "b"))
+        shares = maybe.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("ng"))
+        dealt = maybe.join(shares, "a").withColumn("g", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("ng"))))
+        hubs = dealt.select("g", F.col("a").alias("id"), F.lit(True).alias("asks")).distinct()
+        self.prove(self.labelled(hubs.union(dealt.select("g", F.col("b").alias("id"), F.lit(False).alias("asks"))), "id", "c"))
+
+    def prove(self, groups: DataFrame) -> None:
+        groups = written(groups.select("g", "id", "c", "asks"))
+        if groups.limit(1).count():
+            found = written(_proved(self.docs, groups))
+            self.edges = found if self.edges is None else self.edges.union(found)
+            self.labels = components(self.edges)
 
     def labelled(self, df: DataFrame, node: str, name: str) -> DataFrame:
         if self.labels is None:
@@ -227,13 +250,13 @@ class _Links:
 
 
 def _unsettled(still: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs across components inside buckets that their sketches do not exclude: ``a, b, j``.
+    """Groups of members that may link across components: ``g, id, c, asks``.
 
     ``still``: ``band, key, rep, c``, the members of buckets with several components ``c``. A
     bucket's largest component is settled; each other member is compared with all members.
     Large buckets are dealt over blocks of members times blocks of unsettled ones. Pairs stay
-    inside the comparison: what leaves it may link. A pair that shares several bands is looked
-    at in the first alone."""
+    inside the comparison: what leaves it are the members with a pair that their sketches do not
+    exclude. A pair that shares several bands is looked at in the first alone."""
     parts = still.groupBy("key", "c").agg(F.count("*").alias("_n"))
     modes = parts.groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("mode"), F.sum("_n").alias("n"), F.max("_n").alias("_most"))
     sized = modes.select("key", "mode", F.ceil(F.col("n") / BLOCK).cast("int").alias("ns"), F.ceil((F.col("n") - F.col("_most")) / ASKS).cast("int").alias("nq"))
@@ -244,24 +267,25 @@ def _unsettled(still: DataFrame, classes: DataFrame) -> DataFrame:
     stored = rows.select("key", deal("ns", 1).alias("sb"), each("nq").alias("qb"), F.lit(0).alias("asks"), (F.col("c") != F.col("mode")).alias("open"), *own)
     asking = rows.where("c <> mode").select("key", each("ns").alias("sb"), deal("nq", 2).alias("qb"), F.lit(1).alias("asks"), F.lit(True).alias("open"), *own)
 
-    def compare(held):
+    def compare(group, held):
         import numpy as np
 
         band, rep, c, n, asks, unsettled = (np.concatenate([h[k] for h in held]) for k in range(6))
         regs = np.frombuffer(b"".join(x for h in held for x in h[6]), np.uint16).reshape(-1, REGISTERS)
         keys = regs.view(np.uint64)
-        s, out = np.flatnonzero(asks == 0), []
+        s, maybe = np.flatnonzero(asks == 0), np.zeros(len(rep), bool)
         for q in np.flatnonzero(asks == 1):
             y = s[(c[s] != c[q]) & (~unsettled[s] | (rep[s] > rep[q])) & (100 * np.minimum(n[s], n[q]) >= PERCENT * np.maximum(n[s], n[q]))]
             y = y[(keys[y] == keys[q]).argmax(1) == band[q]]
             if len(y):
-                j, beaten = estimate(np.broadcast_to(regs[q], (len(y), REGISTERS)), regs[y], np.full(len(y), float(n[q])), n[y].astype(np.float64))
-                keep = beaten < DOUBT
-                out.append((np.full(int(keep.sum()), rep[q]), rep[y[keep]], j[keep]))
-        if not out:
+                _, beaten = estimate(np.broadcast_to(regs[q], (len(y), REGISTERS)), regs[y], np.full(len(y), float(n[q])), n[y].astype(np.float64))
+                maybe[y[beaten < DOUBT]] = True
+                maybe[q] |= bool((beaten < DOUBT).any())
+        asked = set(rep[maybe & (asks == 1)].tolist())
+        keep = np.flatnonzero(maybe & ((asks == 1) | ~np.isin(rep, list(asked))))
+        if not len(keep):
             return None
-        x, y, j = (np.concatenate([o[k] for o in out]) for k in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(j)], names=["a", "b", "j"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), group)), pa.array(rep[keep]), pa.array(c[keep]), pa.array(asks[keep] == 1)], names=["g", "id", "c", "asks"])
 
     def run(batches):
         import numpy as np
@@ -270,24 +294,24 @@ def _unsettled(still: DataFrame, classes: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            group = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
-            cuts = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(group)]))
+            group = b.column(0).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if held and tuple(group[lo]) != now:
-                    found = compare(held)
+                if held and group[lo] != now:
+                    found = compare(now, held)
                     if found is not None:
                         yield found
                     held = []
-                now = tuple(group[lo])
+                now = group[lo]
                 part = b.slice(lo, hi - lo)
-                held.append([part.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7, 8, 3, 4)] + [part.column(9).to_pylist()])
+                held.append([part.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6, 1, 2)] + [part.column(7).to_pylist()])
         if held:
-            found = compare(held)
+            found = compare(now, held)
             if found is not None:
                 yield found
 
-    columns = ["key", "sb", "qb", "asks", "open", *own]
-    return stored.union(asking).select(*columns).repartition("key", "sb", "qb").sortWithinPartitions("key", "sb", "qb").mapInArrow(run, "a long, b long, j double")
+    dealt = stored.union(asking).select(F.xxhash64("key", "sb", "qb").alias("g"), "asks", "open", *own)
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, id long, c long, asks boolean")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,8 +330,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     its buckets that is not in its component yet: the likelihood of the two sketches discards
     pairs, the rest is proved on full sets. Then only buckets that still hold several components
     matter; there each class outside the largest component is compared with all others, sketch
-    by sketch inside the tasks, and what may link is proved, each class's likeliest partner
-    first, as far as components can still change. Nothing is capped. Sketches, candidates and
+    by sketch inside the tasks, and those that may link on full sets. Nothing is capped. Sketches, candidates and
     links are written to the shared folder after each step and never collected.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -322,7 +345,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         links.stars(members.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     now = links.labelled(members.select("band", "key", "rep"), "rep", "c")
     split = now.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("key")
-    links.rest(_unsettled(written(now.join(split, "key")), sketches))
+    links.prove(_unsettled(written(now.join(split, "key")), sketches))
     result = links.labelled(classes.select("key", "rep"), "rep", "component")
     out = sets.select("id", "n", "key").join(result.select("key", "component"), "key", "left")
     component = F.coalesce("component", "id")
