@@ -19,9 +19,10 @@ MAX_LANGUAGES = 128
 MAX_EVIDENCE = 60.0
 #: Pseudo-counts: a level of the hierarchy against its parent, and a declaration.
 ALPHA, BETA = 8.0, 2.0
-#: A text is rejected below this posterior, or when its mean log-likelihood is this many
-#: standard deviations under that of the language's own labelled texts.
-MIN_POSTERIOR, MAX_SDS = 0.5, 16.0
+#: A text is rejected below this posterior, or when the mean log-likelihood of its trigrams lies
+#: under the mean of the language's own by this many standard deviations of a trigram: texts of
+#: another script do, texts with names, numbers or phrases of another language do not.
+MIN_POSTERIOR, MAX_SDS = 0.5, 5.5
 
 _TAG = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 _DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
@@ -158,7 +159,7 @@ def fuse(rows: DataFrame, model: Model, text: Column, declared: Column, levels:
                 ll = mean * min(len(at), MAX_EVIDENCE)
                 p = np.exp(ll - ll.max())
                 best = int(np.argmax(mean))
-                odd.append(float((m.mean[best] - mean[best]) / m.sd[best] * np.sqrt(min(len(at), MAX_EVIDENCE))))
+                odd.append(float((m.mean[best] - mean[best]) / m.sd[best]))
                 lls.append(ll), posts.append(p / p.sum())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in slim), pa.array(lls, pa.list_(pa.float64())), pa.array(posts, pa.list_(pa.float64())), pa.array(odd, pa.float64())], names=schema.names)
 

@@ -173,7 +173,8 @@ def language_rows():
     return text, [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)]
 
 
-def test_language_of_pages(spark):
+def test_language_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_SDS", 1.5)  # a model of 90 texts spreads wide
     text, rows = language_rows()
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     page = lambda lang, said: f'<html lang="{said}"><style>p{{}}</style><p>{text(lang)}</p><script>sch wen tz</script></html>'
