@@ -70,7 +70,7 @@ class Index:
         return at, codes, np.sqrt(((r - back) ** 2).sum(1))
 
     def probes(self, x, at, radius: float):
-        """For each row all lists that can hold a vector within ``radius`` of it: those whose
+        """For each row which lists can hold a vector within ``radius`` of it: those whose
         bisecting plane with the row's own list is no farther. No such vector is missed."""
         import numpy as np
 
@@ -80,14 +80,16 @@ class Index:
         return d - d[np.arange(len(x)), at][:, None] <= 2.0 * radius * gap + 1e-9
 
     def asymmetric(self, queries, which: int, codes):
-        """Squared distances of exact queries to coded rows of one list, by table lookup."""
+        """Squared distances of exact queries to coded rows of one list, by table lookup:
+        |q - c - b|^2 = |q - c|^2 + (|b|^2 + 2 c b) - 2 q b, the middle the same for all queries."""
         import numpy as np
 
-        r = queries - self.coarse[which]
-        out = np.zeros((len(queries), len(codes)), np.float32)
+        c, q = self.coarse[which], queries.astype(np.float32)
+        out = np.repeat(((queries - c) ** 2).sum(1).astype(np.float32)[:, None], len(codes), 1)
         for m, s in enumerate(self.slices()):
-            table = ((r[:, None, s] - self.books[m][None]) ** 2).sum(2).astype(np.float32)
-            out += table[:, codes[:, m]]
+            book = self.books[m]
+            out += ((book * book).sum(1) + 2.0 * (book @ c[s])).astype(np.float32)[codes[:, m]]
+            out -= np.take(q[:, s] @ (2.0 * book.T).astype(np.float32), codes[:, m], 1)
         return out
 
 
@@ -168,6 +170,7 @@ def _linked(spark, classes: DataFrame, n: int, dim: int, threshold: float) -> Da
     index = spark.sparkContext.broadcast(Index(unit(matrix(sample.column(0).to_numpy())), lists))
     label_type = classes.schema["_label"].dataType
     schema = T.StructType([T.StructField("label", label_type), T.StructField("rep", T.LongType()), T.StructField("mult", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("list", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("err", T.DoubleType()), T.StructField("probes", T.ArrayType(T.IntegerType()))])
+    kept_as = "<f4" if isinstance(classes.schema["_v"].dataType.elementType, T.FloatType) else "<f8"
 
     def assign(batches):
         for b in batches:
@@ -176,9 +179,10 @@ def _linked(spark, classes: DataFrame, n: int, dim: int, threshold: float) -> Da
                 raw = matrix(part.column(1).to_numpy(zero_copy_only=False))
                 x = unit(raw)
                 at, codes, err = index.value.encode(x)
-                probes = index.value.probes(x, at, radius)
+                near = index.value.probes(x, at, radius)
+                probes = pa.array([np.flatnonzero(p) for p in near], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([np.flatnonzero(p) for p in probes], pa.list_(pa.int32()))],
+                    [part.column(0), part.column(2), part.column(3), pa.array([r.tobytes() for r in raw.astype(kept_as)], pa.binary()), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), probes],
                     names=schema.names,
                 )
 
@@ -199,7 +203,7 @@ def _linked(spark, classes: DataFrame, n: int, dim: int, threshold: float) -> Da
         if not len(s) or not len(q):
             return pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "tree": pd.Series(dtype="int64")})
         table, which = index.value, int(key[1])
-        sv, qv = (unit(np.frombuffer(b"".join(x), np.float64).reshape(len(x), dim)) for x in (s["vec"], q["q_vec"]))
+        sv, qv = (unit(np.frombuffer(b"".join(x), kept_as).astype(np.float64).reshape(len(x), dim)) for x in (s["vec"], q["q_vec"]))
         codes = np.frombuffer(b"".join(s["code"]), np.uint8).reshape(len(s), SUBSPACES)
         reach = ((radius + s["err"].to_numpy()) ** 2 + 1e-5).astype(np.float32)
         linked = np.zeros((len(q), len(s)), bool)
