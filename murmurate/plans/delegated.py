@@ -32,7 +32,7 @@ STATEMENTS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", []),
     "cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", []),
     "grouping_sets": ("SELECT coalesce(n_regionkey, -1) AS region, c_mktsegment, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_regionkey), (c_mktsegment), ())", []),
-    "window_rank": ("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}", []),
+    "window_rank": ("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM {orders}", []),
     "window_frame": ("SELECT event_id, sum(CAST(value * 100 AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM {events}", [("SELECT event_id, sum(CAST(value * 100 AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s", "SELECT event_id, CAST(sum(CAST(trunc(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s")]),
     "top_k": ("SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", []),
     "offset": ("SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 10 OFFSET 5", []),
@@ -45,8 +45,8 @@ STATEMENTS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "scalar_subquery": ("SELECT c_custkey FROM {customer} WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {customer})", []),
     "in_subquery": ("SELECT s_suppkey FROM {supplier} WHERE s_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)", []),
     "case": ("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class FROM {part}", []),
-    "string_functions": ("SELECT c_custkey, lower(c_name) AS l, length(c_name) AS n, substring(c_name, 1, 4) AS head, replace(c_mktsegment, 'A', 'a') AS r, concat(c_mktsegment, '-', c_name) AS joined, trim(concat(' ', c_name, ' ')) AS t FROM {customer}", []),
-    "date_functions": ("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS month_start FROM {orders}", []),
+    "string_functions": ("SELECT c_custkey, lower(c_name) AS l, CAST(length(c_name) AS BIGINT) AS n, substring(c_name, 1, 4) AS head, replace(c_mktsegment, 'A', 'a') AS r, concat(c_mktsegment, '-', c_name) AS joined, trim(concat(' ', c_name, ' ')) AS t FROM {customer}", []),
+    "date_functions": ("SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS month_start FROM {orders}", []),
     "math_functions": ("SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, floor(l_extendedprice) AS f, sqrt(l_quantity) AS s, CAST(l_orderkey % 7 AS BIGINT) AS m FROM {lineitem}", [("floor(l_extendedprice)", "CAST(floor(l_extendedprice) AS BIGINT)")]),
     "json_functions": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events}", [("CAST(get_json_object(props, '$.k') AS INT)", "CAST(json_extract_string(props, '$.k') AS INTEGER)")]),
     "pricing_summary": ("SELECT l_returnflag, l_linestatus, " + _MONEY.format("l_quantity") + " AS sum_qty, " + _MONEY.format("l_extendedprice") + " AS sum_base, " + REVENUE + " AS sum_disc, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", []),
