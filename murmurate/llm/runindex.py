@@ -20,7 +20,7 @@ def suffix_array(codes, starts, ends):
     for k in range(7):
         key <<= np.uint64(9)
         key |= np.where(left >= k, padded[k : k + n], np.uint64(0))
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     rank = np.empty(n, np.int64)
@@ -32,7 +32,7 @@ def suffix_array(codes, starts, ends):
         at = sa[rows]
         # Past the terminator the order is the strings' own.
         second = np.where(left[at] >= depth, rank[np.minimum(at + depth, n - 1)] + len(starts), which[at])
-        order = np.argsort(rank[at] * np.int64(2 * n + len(starts) + 1) + second, kind="stable")
+        order = np.argsort(rank[at] * np.int64(2 * n + len(starts) + 1) + second)
         at, second = at[order], second[order]
         sa[rows] = at
         old = rank[at]
@@ -105,8 +105,8 @@ class RunIndex:
         lf = np.cumsum(run_len[order]) - run_len[order]
         self.run_lf = np.empty(len(order), np.int64)
         self.run_lf[order] = lf
-        self.run_to = np.searchsorted(self.run_start, self.run_lf, "right") - 1
-        self.run_owner = owner[np.searchsorted(classes, self.run_start, "right") - 1]
+        self.run_to = (np.cumsum(heads) - 1)[self.run_lf]
+        self.run_owner = owner[(np.cumsum(new) - 1)[self.run_start]]
 
     def stream(self):
         """For each string, right to left and all in step, the smallest owner of its symbols

@@ -18,7 +18,7 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text in a block (a longer text is a block of its own), fingerprints in a shard of
 #: the count, and bytes of text for each index.
-BLOCK, FINGERPRINTS, INDEX = 4 << 20, 1 << 20, 2 << 20
+BLOCK, FINGERPRINTS, INDEX = 8 << 20, 1 << 20, 4 << 20
 
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
@@ -90,14 +90,19 @@ def _regions(body, begin, end, ends, first):
     count = n - LENGTH + 1
     if span < width:
         least = np.minimum(least[:count], least[width - span : width - span + count])
-    doc = np.searchsorted(ends - begin, np.arange(count), "right")
-    inside = np.arange(count) + LENGTH <= (ends - begin)[doc]
-    change = np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])))
+    stops = ends - begin
+    begins = np.concatenate(([0], stops[:-1]))
+    change = np.empty(count, bool)
+    change[0] = True
+    np.not_equal(least[1:], least[:-1], out=change[1:])
+    for edge in (begins, np.maximum(begins, stops - LENGTH + 1)):  # documents, and the ends that no window starts in
+        change[edge[edge < count]] = True
     at = np.flatnonzero(change)
     size = np.diff(np.append(at, count))
-    keep = inside[at]
-    at, size = at[keep], size[keep]
-    return begin + at, size, first + doc[at], _mix(least[at])
+    doc = np.searchsorted(stops, at, "right")
+    keep = at + LENGTH <= stops[doc]
+    at, size, doc = at[keep], size[keep], doc[keep]
+    return begin + at, size, first + doc, _mix(least[at])
 
 
 def _content(body: bytes, start, length):
@@ -175,11 +180,10 @@ def _fingerprints(shards: int):
         for b in batches:
             for block, sizes, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 _, _, doc, value = regions(_unpack(body), np.array(sizes, np.int64))
-                order = np.lexsort((doc, value))
+                order = np.argsort(value)
                 value, doc = value[order], doc[order]
                 first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.empty(0, np.int64)
-                last = np.append(first[1:], len(value))[: len(first)] - 1
-                several = doc[first] != doc[last]
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.empty(0, bool)
                 value = value[first]
                 cut = np.searchsorted(_shard(value, shards), np.arange(shards + 1))
                 out = [(s, block, value[cut[s] : cut[s + 1]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.packbits(several[cut[s] : cut[s + 1]]).tobytes()) for s in range(shards) if cut[s] < cut[s + 1]]
@@ -206,7 +210,7 @@ def _shared(group):
     wide[:, :6] = np.concatenate(raw)
     value = wide.view("<u8")[:, 0]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(group["several"], n, strict=True)])
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     s = value[order]
     same = s[1:] == s[:-1]
     several[order[1:][same]] = True
@@ -237,19 +241,21 @@ def _candidates(indexes: int):
         start, windows, doc, value = start[keep], windows[keep], doc[keep], value[keep]
         length = windows + LENGTH - 1
         content = _content(body, start, length)
-        # Sorted by index first: stretches of one index are next to each other.
+        # Sorted by index first, then content: equal stretches are next to each other, but for
+        # those between which others with the same bits in the key fall, which only stay apart.
         target = (_mix(value) % np.uint64(indexes)).astype(np.int64)
-        order = np.lexsort((ids[doc], content, target))
+        order = np.argsort((target.astype(np.uint64) << np.uint64(40)) | (content >> np.uint64(24)))
         start, windows, length, content, target, doc = (x[order] for x in (start, windows, length, content, target, doc))
         head = np.concatenate(([True], (content[1:] != content[:-1]) | (target[1:] != target[:-1])))[: len(start)]
         f = np.flatnonzero(head)
         group = np.cumsum(head) - 1
+        owner = np.minimum.reduceat(ids[doc], f) if len(f) else np.empty(0, np.int64)
         rows = []
         ft = target[f]
         for t in np.unique(ft):
             a, b = np.searchsorted(ft, [t, t + 1])
             pick = f[a:b]
-            rows.append((int(t), _pack(length[pick].astype(np.int32).tobytes()), _pack(ids[doc[pick]].tobytes()), _pack(_gather(body, start[pick], length[pick]))))
+            rows.append((int(t), _pack(length[pick].astype(np.int32).tobytes()), _pack(owner[a:b].tobytes()), _pack(_gather(body, start[pick], length[pick]))))
         own = b"".join(x.astype(np.int32).tobytes() for x in (start, windows, doc, group))
         rows.append((-1, _pack(own), None, None))
         out = pd.DataFrame(rows, columns=["target", "lengths", "owners", "body"])
