@@ -52,19 +52,28 @@ def _shingle_texts(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= SHINGLE, full).otherwise(F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))))
 
 
-def _wide_keys(hashes: Column, stride: int) -> Column:
-    """The band keys of all windows of WIDE shingles; the last window reaches the end."""
-    rng = random.Random(5)
-    masks = [rng.getrandbits(63) for _ in range(BANDS)]
-    last = F.size(hashes) - WIDE
-    starts = F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))
+_MASKS = [random.Random(5 + b).getrandbits(63) for b in range(BANDS)]
 
-    def minimum(start: Column, mask: int) -> Column:
-        return F.array_min(F.transform(F.slice(hashes, start + 1, WIDE), lambda x: x.bitwiseXOR(F.lit(mask))))
 
-    # Exclusive or with a mask of the band permutes the hashes; the key also holds the band.
-    keys = F.flatten(F.transform(starts, lambda s: F.array(*(F.xxhash64(F.lit(b), minimum(s, mask)) for b, mask in enumerate(masks)))))
-    return F.when(F.size(hashes) >= WIDE, F.array_distinct(keys)).otherwise(F.array().cast("array<long>"))
+def _permuted(hashes: Column) -> list[Column]:
+    """The hashes as each band orders them: exclusive or with the band's mask."""
+
+    def by(mask: int) -> Column:
+        return F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask)))
+
+    return [by(mask).alias(f"_p{b}") for b, mask in enumerate(_MASKS)]
+
+
+def _wide_keys(stride: int) -> Column:
+    """The band keys of all windows of WIDE shingles, from the columns of ``_permuted``; the
+    last window reaches the end."""
+
+    def keys(b: int) -> Column:
+        last = F.size(f"_p{b}") - WIDE
+        starts = F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))
+        return F.transform(starts, lambda s: F.xxhash64(F.lit(b), F.array_min(F.slice(f"_p{b}", s + 1, WIDE))))
+
+    return F.when(F.size("_p0") >= WIDE, F.array_distinct(F.concat(*(keys(b) for b in range(BANDS))))).otherwise(F.array().cast("array<long>"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -83,7 +92,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     spark = docs.sparkSession
     given = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "license string, _template string")
     t = given.withColumn("_w", _words(F.col("_template"))).withColumn("_h", _shingle_hashes(F.col("_w"))).withColumn("_need", _shingle_texts(F.col("_w")))
-    t = t.withColumn("_keys", F.when(F.size("_h") >= WIDE, _wide_keys(F.col("_h"), 1)).otherwise(F.array_distinct("_h")))
+    t = t.select("*", *_permuted(F.col("_h"))).withColumn("_keys", F.when(F.size("_h") >= WIDE, _wide_keys(1)).otherwise(F.array_distinct("_h")))
     rows = t.where(F.size("_w") > 0).select("license", "_keys", "_need", (F.size("_h") >= WIDE).alias("_wide")).collect()
     n_keys = sum(len(r["_keys"]) for r in rows)
     if n_keys > MAX_KEYS:
@@ -97,7 +106,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     split = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _words(F.col(text_col)).alias("_w"))
     hashed = split.select("_id", "_text", _shingle_hashes(F.col("_w")).alias("_h"))
     hit = lambda keys, known: F.filter(keys, lambda x: x.isin(*known)) if known else F.array().cast("array<long>")
-    hits = F.array_distinct(F.concat(hit(F.col("_h"), single), hit(_wide_keys(F.col("_h"), STRIDE), wide)))
+    hashed = hashed.select("*", *_permuted(F.col("_h")))
+    hits = F.array_distinct(F.concat(hit(F.col("_h"), single), hit(_wide_keys(STRIDE), wide)))
     candidates = (
         hashed.select("_id", "_text", F.explode_outer(hits).alias("_key")).where("_key IS NOT NULL").join(F.broadcast(bands), "_key")
         .groupBy("_id", F.xxhash64("_text").alias("_t"), "license").agg(F.first("_text").alias("_text"))
