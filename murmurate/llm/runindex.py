@@ -4,45 +4,46 @@ suffix-array samples at run ends, and matching statistics streamed through it.""
 from __future__ import annotations
 
 
-def suffix_array(codes, starts, ends):
-    """Suffix array and rank classes of concatenated strings.
-
-    ``codes``: 1 + byte for text and 0 for the terminator that ends each string, at ``ends``.
-    Terminators are ordered by string. Prefix doubling from seven symbols in a word on, only
-    ties being sorted again."""
+def suffix_array(codes):
+    """Suffix array and ranks of a text of symbols below 512, by prefix doubling from seven
+    symbols in a word on; only ties are sorted again."""
     import numpy as np
 
     n = len(codes)
-    which = np.repeat(np.arange(len(starts)), ends - starts + 1)
-    left = (ends[which] - np.arange(n)).astype(np.int64)  # symbols before the terminator
-    key = np.zeros(n, np.uint64)
-    padded = np.append(codes, np.zeros(7, np.uint16)).astype(np.uint64)
-    for k in range(7):
-        key <<= np.uint64(9)
-        key |= np.where(left >= k, padded[k : k + n], np.uint64(0))
-    sa = np.argsort(key)
-    sorted_key = key[sa]
+    sa_key = seven(codes)
+    sa = np.argsort(sa_key)
+    sorted_key = sa_key[sa]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # the end of the text
     first = np.flatnonzero(new)
     rank[sa] = np.repeat(first, np.diff(np.append(first, n)))  # a class is named by its first row
     depth = 7
     rows = np.flatnonzero(~(new & np.append(new[1:], True)))  # rows of classes of several
     while len(rows):
         at = sa[rows]
-        # Past the terminator the order is the strings' own.
-        second = np.where(left[at] >= depth, rank[np.minimum(at + depth, n - 1)] + len(starts), which[at])
-        order = np.argsort(rank[at] * np.int64(2 * n + len(starts) + 1) + second)
-        at, second = at[order], second[order]
+        key = rank[at] * np.int64(n + 2) + rank[np.minimum(at + depth, n)]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
         sa[rows] = at
-        old = rank[at]
-        begins = np.concatenate(([True], (old[1:] != old[:-1]) | (second[1:] != second[:-1])))
-        f = np.flatnonzero(begins)
+        f = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(f, len(rows)))
         rank[at] = np.repeat(rows[f], sizes)
         rows = rows[np.repeat(sizes > 1, sizes)]
         depth *= 2
-    return sa
+    return sa, rank[:n]
+
+
+def seven(codes):
+    """Seven symbols from each place on, in a word; zeros follow the text."""
+    import numpy as np
+
+    n, word = len(codes), np.zeros(len(codes), np.uint64)
+    padded = np.append(codes, np.zeros(7, np.uint16)).astype(np.uint64)
+    for k in range(7):
+        word <<= np.uint64(9)
+        word |= padded[k : k + n]
+    return word
 
 
 def shared_prefix_bounds(codes, sa, left, length: int):
@@ -54,11 +55,7 @@ def shared_prefix_bounds(codes, sa, left, length: int):
     n = len(sa)
     differs = np.ones(n, bool)
     rows = np.flatnonzero((left[sa[1:]] >= length) & (left[sa[:-1]] >= length)) + 1
-    words = np.zeros(n, np.uint64)
-    padded = np.append(codes, np.zeros(7, np.uint16)).astype(np.uint64)
-    for k in range(7):
-        words <<= np.uint64(9)
-        words |= padded[k : k + n]
+    words = seven(codes)
     for at in [*range(0, length - 6, 7), length - 7]:
         rows = rows[words[sa[rows] + at] == words[sa[rows - 1] + at]]
     differs[rows] = False
@@ -66,7 +63,7 @@ def shared_prefix_bounds(codes, sa, left, length: int):
 
 
 class RunIndex:
-    """Runs of the transform of ``strings``, with what streaming needs of each.
+    """Runs of the transform of strings, each ended by a terminator, with what streaming needs.
 
     ``run_start``: first row; ``run_char``: symbol; ``run_lf``: where the first row leads, the
     others following it; ``run_to``: the run of that row; ``run_first`` and ``run_last``: the suffix-array samples at both ends;
@@ -80,17 +77,16 @@ class RunIndex:
         self.length, self.sizes = length, sizes
         count = len(sizes)
         self.ends = np.cumsum(sizes + 1) - 1
-        starts = self.ends - sizes
         n = int(self.ends[-1]) + 1 if count else 0
         codes = np.zeros(n, np.uint16)
         text = np.ones(n, bool)
         text[self.ends] = False
         codes[text] = np.frombuffer(body, np.uint8).astype(np.uint16) + 1
-        sa = suffix_array(codes, starts, self.ends)
+        sa, rank = suffix_array(codes)
+        self.end_row = rank[self.ends]
         which = np.repeat(np.arange(count), sizes + 1)
         left = self.ends[which] - np.arange(n)
-        bwt = codes[sa - 1]
-        bwt[sa == starts[which[sa]]] = 0
+        bwt = codes[sa - 1]  # before a string stands the terminator of the one before, or the last
         new = shared_prefix_bounds(codes, sa, left, length)
         classes = np.flatnonzero(new)
         owner = np.minimum.reduceat(owners[which[sa]], classes) if n else np.empty(0, np.int64)
@@ -100,7 +96,8 @@ class RunIndex:
         self.run_char = bwt[self.run_start]
         run_len = np.diff(np.append(self.run_start, n))
         self.run_first, self.run_last = sa[self.run_start], sa[np.append(self.run_start[1:], n) - 1]
-        # LF: rows with a symbol keep their order; runs of a symbol follow each other.
+        # LF: rows with a symbol keep their order; runs of a symbol follow each other. (Not so for
+        # terminators, through which no stream goes.)
         order = np.argsort(self.run_char, kind="stable")
         lf = np.cumsum(run_len[order]) - run_len[order]
         self.run_lf = np.empty(len(order), np.int64)
@@ -119,7 +116,7 @@ class RunIndex:
         out = np.empty(int(windows.sum()), np.int64)
         lanes = np.argsort(-self.sizes, kind="stable")
         sizes = self.sizes[lanes]
-        row = lanes.astype(np.int64)  # the terminators' rows come first, by string
+        row = self.end_row[lanes]
         run = np.searchsorted(self.run_start, row, "right") - 1
         after = np.append(self.run_start[1:], np.iinfo(np.int64).max)
         longest = int(sizes[0]) if len(sizes) else 0
