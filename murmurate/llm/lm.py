@@ -156,9 +156,10 @@ def _trained(docs: DataFrame, vocabulary, v: Vocabulary, rounds: int) -> GRU:
 
         names = sorted(model.p)
         dealt = sample.repartition(replicas, "replica").sortWithinPartitions("id").select("id", "text")
+        replicas_of_round = written(dealt.mapInArrow(run, "seen long, " + ", ".join(f"{k} binary" for k in names)))
         # At most one row of about a megabyte for each replica is added up by the driver, a row at a time.
         total, weight = {k: np.zeros(model.p[k].shape) for k in names}, 0
-        for r in dealt.mapInArrow(run, "seen long, " + ", ".join(f"{k} binary" for k in names)).toLocalIterator():
+        for r in replicas_of_round.toLocalIterator():
             weight += r["seen"]
             for k in names:
                 total[k] += r["seen"] * np.frombuffer(r[k], np.float32).reshape(total[k].shape)
