@@ -10,21 +10,26 @@ def suffix_array(codes):
     import numpy as np
 
     n = len(codes)
-    sa_key = seven(codes)
-    sa = np.argsort(sa_key)
-    sorted_key = sa_key[sa]
-    new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
-    rank = np.empty(n + 1, np.int64)
+    key = seven(codes)
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    del key
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1  # the end of the text
     first = np.flatnonzero(new)
     rank[sa] = np.repeat(first, np.diff(np.append(first, n)))  # a class is named by its first row
     depth = 7
-    rows = np.flatnonzero(~(new & np.append(new[1:], True)))  # rows of classes of several
+    rows = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)  # rows of classes of several
+    del new, first
     while len(rows):
         at = sa[rows]
-        key = rank[at] * np.int64(n + 2) + rank[np.minimum(at + depth, n)]
+        key = rank[at].astype(np.int64)
+        key *= n + 2
+        key += rank[np.minimum(at + np.int32(min(depth, n)), n)]
         order = np.argsort(key)
         at, key = at[order], key[order]
+        del order
         sa[rows] = at
         f = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(f, len(rows)))
@@ -39,7 +44,7 @@ def seven(codes):
     import numpy as np
 
     n, word = len(codes), np.zeros(len(codes), np.uint64)
-    padded = np.append(codes, np.zeros(7, np.uint16)).astype(np.uint64)
+    padded = np.append(codes, np.zeros(7, np.uint16))
     for k in range(7):
         word <<= np.uint64(9)
         word |= padded[k : k + n]
@@ -83,9 +88,10 @@ class RunIndex:
         text[self.ends] = False
         codes[text] = np.frombuffer(body, np.uint8).astype(np.uint16) + 1
         sa, rank = suffix_array(codes)
-        self.end_row = rank[self.ends]
-        which = np.repeat(np.arange(count), sizes + 1)
-        left = self.ends[which] - np.arange(n)
+        self.end_row = rank[self.ends].astype(np.int64)
+        del rank, text
+        which = np.repeat(np.arange(count, dtype=np.int32), sizes + 1)
+        left = (self.ends[which] - np.arange(n)).astype(np.int32)
         bwt = codes[sa - 1]  # before a string stands the terminator of the one before, or the last
         new = shared_prefix_bounds(codes, sa, left, length)
         classes = np.flatnonzero(new)
