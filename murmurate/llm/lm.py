@@ -17,10 +17,9 @@ from .gru import GRU
 HEAD = 200_000
 #: Words that the softmax tells apart, and classes of all others.
 WORDS, TAILS = 2048, 32
-#: The recurrent model learns from one training text in SAMPLE_SHARE, or from the share that
-#: gives SAMPLE_TOKENS where that is more; so its sample grows with the input. Every replica
-#: learns from about REPLICA_TOKENS, PASSES times over, in each of ROUNDS.
-SAMPLE_SHARE, SAMPLE_TOKENS, REPLICA_TOKENS, MAX_REPLICAS, ROUNDS = 32, 1_000_000, 1_000_000, 256, 2
+#: The recurrent model learns from every training text, by replicas: each learns from about
+#: REPLICA_TOKENS (more where MAX_REPLICAS are too few), once in each of ROUNDS.
+REPLICA_TOKENS, MAX_REPLICAS, ROUNDS = 1_000_000, 256, 2
 #: Tokens scored at a time.
 BATCH_TOKENS = 400_000
 
@@ -129,17 +128,28 @@ def _vocabulary(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, int]:
 
 
 def _trained(docs: DataFrame, vocabulary, v: Vocabulary, rounds: int) -> GRU:
-    """A model averaged over replicas, each of which learns from its share of the sample where
-    the share lies; rounds begin with the average of the last one."""
+    """A model averaged over replicas, each of which learns from its share of all training
+    texts; rounds begin with the average of the last one. Texts become symbols once, of two
+    bytes each, which are what the rounds deal and read."""
     import numpy as np
 
     spark = docs.sparkSession
     model = GRU(v.weights, TAILS, v.prior())
-    share = max(1, int(min(SAMPLE_SHARE, v.n / SAMPLE_TOKENS)))
-    replicas = int(max(1, min(MAX_REPLICAS, v.n // share // REPLICA_TOKENS)))
-    own = docs.toDF("id", "text").where("text IS NOT NULL").withColumn("h", F.xxhash64("id", F.lit(9)))
+    replicas = int(max(1, min(MAX_REPLICAS, v.n // REPLICA_TOKENS)))
+    own = docs.toDF("id", "text").where("text IS NOT NULL")
     text_id = F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")
-    sample = written(own.where((F.crc32(text_id) % 10 != 0) & (F.pmod("h", F.lit(share)) == 0)).select("id", "text", F.pmod(F.shiftright("h", 20), F.lit(replicas)).cast("int").alias("replica")))
+    replica = F.pmod(F.shiftright(F.xxhash64("id", F.lit(9)), 20), F.lit(replicas)).cast("int")
+    learnt = own.where(F.crc32(text_id) % 10 != 0).select("id", "text", replica.alias("replica"))
+
+    def encoded(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                symbols = [vocabulary.value.encode(x.as_py().encode().lower().split())[0].astype(np.int16).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(symbols, pa.binary())], names=["id", "replica", "symbols"])
+
+    types = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("replica", T.IntegerType()), T.StructField("symbols", T.BinaryType())])
+    dealt = written(learnt.mapInArrow(encoded, types)).repartitionById(replicas, F.col("replica")).sortWithinPartitions("id").select("symbols")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model.p)
 
@@ -148,14 +158,13 @@ def _trained(docs: DataFrame, vocabulary, v: Vocabulary, rounds: int) -> GRU:
             own_model.p = {k: x.copy() for k, x in shared.value.items()}
             for b in batches:
                 for lo in range(0, b.num_rows, 512):
-                    texts = [vocabulary.value.encode(x.as_py().encode().lower().split())[0] for x in b.column(1).slice(lo, 512)]
+                    texts = [np.frombuffer(x.as_py(), np.int16).astype(np.int64) for x in b.column(0).slice(lo, 512)]
                     squares = own_model.train(texts, squares=squares)
                     seen += sum(len(x) + 1 for x in texts)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), *(pa.array([own_model.p[k].astype(np.float32).tobytes()]) for k in sorted(own_model.p))], names=["seen", *sorted(own_model.p)])
 
         names = sorted(model.p)
-        dealt = sample.repartition(replicas, "replica").sortWithinPartitions("id").select("id", "text")
         replicas_of_round = written(dealt.mapInArrow(run, "seen long, " + ", ".join(f"{k} binary" for k in names)))
         # At most one row of about a megabyte for each replica is added up by the driver, a row at a time.
         total, weight = {k: np.zeros(model.p[k].shape) for k in names}, 0
@@ -181,7 +190,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     counts of all training texts. Null ids count as empty text. Repeated rows are scored each.
     Without training rows the model is the initial one. Other columns are not passed on.
 
-    Counts, model and scores are a pass over the texts each. Counts of at most HEAD words are
+    Counts, symbols of training texts and scores are a pass over the texts each; every round
+    of the model is one over all those symbols. Counts of at most HEAD words are
     broadcast; occurrences of rarer words meet their counts in a shuffle, by word.
     """
     spark = docs.sparkSession

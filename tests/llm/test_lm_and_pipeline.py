@@ -49,6 +49,19 @@ def test_lm_scores(spark, monkeypatch, head):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # held-out likelihood
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    """Whatever the number of tokens, a round learns from all of them."""
+    monkeypatch.setattr(lm, "SAMPLE_TOKENS", 1000, raising=False)  # of the sample that once was
+    monkeypatch.setattr(lm, "REPLICA_TOKENS", 2000)
+    kept, write = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df: kept.append(write(df)) or kept[-1])
+    df = spark.createDataFrame(list(enumerate(sentences(random.Random(2), 300))), "doc_id long, text string")
+    tokens = lm.score(df).first()["train_tokens"]
+    rounds = [[r["seen"] for r in x.select("seen").collect()] for x in kept if "seen" in x.columns]
+    assert len(rounds) == lm.ROUNDS and tokens > 4000
+    assert all(len(seen) > 1 and sum(seen) == tokens for seen in rounds)
+
+
 def test_lm_odd_tables(spark):
     schema = "doc_id long, text string"
     assert lm.score(spark.createDataFrame([], schema)).count() == 0
