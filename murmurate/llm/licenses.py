@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .common import WORD, ascii_lower
 
 SHINGLE = 5
-#: Windows of text hold this many shingles; templates of fewer shingles are looked up by
-#: windows of a single one. Windows start every STRIDE shingles in texts, everywhere in
+#: Windows of text hold this many shingles; templates that a text without a window can match
+#: (of fewer shingles, or of so few that WIDE - 1 of them are enough) are looked up by windows
+#: of a single one, in every text. Windows start every STRIDE shingles in texts, everywhere in
 #: templates, so that a verbatim window always has its equal among the template's.
 WIDE, STRIDE = 8, 4
 #: Bands of one row each: a text window of Jaccard similarity j to a template window is
@@ -92,8 +93,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     spark = docs.sparkSession
     given = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "license string, _template string")
     t = given.withColumn("_w", _words(F.col("_template"))).withColumn("_h", _shingle_hashes(F.col("_w"))).withColumn("_need", _shingle_texts(F.col("_w")))
-    t = t.select("*", *_permuted(F.col("_h"))).withColumn("_keys", F.when(F.size("_h") >= WIDE, _wide_keys(1)).otherwise(F.array_distinct("_h")))
-    rows = t.where(F.size("_w") > 0).select("license", "_keys", "_need", (F.size("_h") >= WIDE).alias("_wide")).collect()
+    t = t.withColumn("_wide", (F.size("_h") >= WIDE) & (F.size("_need") * F.lit(float(containment)) > WIDE - 1))
+    t = t.select("*", *_permuted(F.col("_h"))).withColumn("_keys", F.when(F.col("_wide"), _wide_keys(1)).otherwise(F.array_distinct("_h")))
+    rows = t.where(F.size("_w") > 0).select("license", "_keys", "_need", "_wide").collect()
     n_keys = sum(len(r["_keys"]) for r in rows)
     if n_keys > MAX_KEYS:
         raise ValueError(f"the templates have {n_keys} band keys; the most is {MAX_KEYS}")
