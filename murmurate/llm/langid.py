@@ -23,6 +23,10 @@ ALPHA, BETA = 8.0, 2.0
 #: under the mean of the language's own by this many standard deviations of a trigram: texts of
 #: another script do, texts with names, numbers or phrases of another language do not.
 MIN_POSTERIOR, MAX_SDS = 0.5, 5.5
+#: It is also rejected where no language competes better: each bucket alike, with NONE as its
+#: prior, against the language's trigrams of which UNIFORM are mixed with such buckets. An
+#: unseen trigram costs log(UNIFORM) against it, however large the corpus.
+NONE, UNIFORM = 0.01, 0.05
 
 _TAG = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 _DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b"
@@ -67,7 +71,8 @@ def trigrams(text: str):
 
 
 class Model:
-    """Log-probabilities of trigram buckets, with the mean and spread of labelled texts."""
+    """Log-probabilities of trigram buckets, with the mean and spread of labelled texts, and
+    log-odds of buckets against no language."""
 
     def __init__(self, languages, counts):
         import numpy as np
@@ -75,6 +80,9 @@ class Model:
         self.languages = languages
         c = np.asarray(counts, np.float64) + 0.05
         self.logp = np.log(c / c.sum(1, keepdims=True)).T.copy() if len(languages) else np.zeros((BUCKETS, 0))
+        found = np.asarray(counts, np.float64)
+        share = found / np.maximum(found.sum(1, keepdims=True), 1) if len(languages) else np.zeros((0, BUCKETS))
+        self.odds = np.log((1 - UNIFORM) * share * BUCKETS + UNIFORM).T.copy()
         p = np.exp(self.logp)
         self.mean = (p * self.logp).sum(0)
         self.sd = np.sqrt(np.maximum((p * self.logp**2).sum(0) - self.mean**2, 1e-12))
@@ -124,7 +132,7 @@ def fuse(rows: DataFrame, model: Model, text: Column, declared: Column, levels:
     ``language`` is the one of the greatest product (the first in order on ties), ``posterior``
     its share, 6 decimals. ``kept`` is false, and the row rejected, if the text is null or has no letters
     (``language`` null then), if the posterior is below MIN_POSTERIOR, or if the text is unlike
-    any text of the language. Null or odd declarations count as none; a null level is a place
+    any text of the language or more like no language than like any. Null or odd declarations count as none; a null level is a place
     of its own. Null ids and repeated rows are rows like any other. Without languages all rows
     are rejected. Columns of ``keep`` with one of the names above are replaced.
 
@@ -141,27 +149,28 @@ def fuse(rows: DataFrame, model: Model, text: Column, declared: Column, levels:
     subtag = F.when(declared.rlike("^[a-z]{2,3}$"), declared).otherwise("")
     source = rows.select(*(c for c, n in zip(keep, passed.columns, strict=True) if n in own), text.alias("_text"), subtag.alias("declared"), *(F.coalesce(c, F.lit("")).alias(n) for c, n in zip(levels, level_names, strict=True)))
     slim = [c for c in source.columns if c != "_text"]
-    schema = T.StructType([*(source.schema[c] for c in slim), T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_post", T.ArrayType(T.DoubleType())), T.StructField("_odd", T.DoubleType())])
+    schema = T.StructType([*(source.schema[c] for c in slim), T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_post", T.ArrayType(T.DoubleType())), T.StructField("_odd", T.DoubleType()), T.StructField("_some", T.DoubleType())])
 
     def run(batches):
         import numpy as np
 
         m = shared.value
         for b in batches:
-            lls, posts, odd = [], [], []
+            lls, posts, odd, some = [], [], [], []
             for x in b.column(b.schema.get_field_index("_text")):
                 value = x.as_py()
                 at = trigrams(plain_text(value) if markup else value) if value else ()
                 if not len(at) or not k:
-                    lls.append(None), posts.append(None), odd.append(None)
+                    lls.append(None), posts.append(None), odd.append(None), some.append(None)
                     continue
                 mean = m.logp[at].mean(0)
                 ll = mean * min(len(at), MAX_EVIDENCE)
                 p = np.exp(ll - ll.max())
                 best = int(np.argmax(mean))
                 odd.append(float((m.mean[best] - mean[best]) / m.sd[best]))
+                some.append(float(m.odds[at].mean(0).max() * min(len(at), MAX_EVIDENCE) - np.log(NONE)))
                 lls.append(ll), posts.append(p / p.sum())
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in slim), pa.array(lls, pa.list_(pa.float64())), pa.array(posts, pa.list_(pa.float64())), pa.array(odd, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in slim), pa.array(lls, pa.list_(pa.float64())), pa.array(posts, pa.list_(pa.float64())), pa.array(odd, pa.float64()), pa.array(some, pa.float64())], names=schema.names)
 
     evidence = written(source.mapInArrow(run, schema))
     totals = lambda *by: evidence.where("_post IS NOT NULL").groupBy(*by).agg(F.array(*(F.sum(F.get("_post", i)) for i in range(k))).alias("_c"), F.count("*").alias("_n"))
@@ -197,7 +206,7 @@ def fuse(rows: DataFrame, model: Model, text: Column, declared: Column, levels:
     text_lang = F.get(names, F.array_position("_post", F.array_max("_post")).cast("int") - 1)
     return scored.select(
         *own, text_lang.alias("text_lang"), F.nullif("declared", F.lit("")).alias("declared"), best.alias("language"), posterior.alias("posterior"),
-        F.coalesce((posterior >= MIN_POSTERIOR) & (F.col("_odd") <= MAX_SDS), F.lit(False)).alias("kept"),
+        F.coalesce((posterior >= MIN_POSTERIOR) & (F.col("_odd") <= MAX_SDS) & (F.col("_some") >= 0), F.lit(False)).alias("kept"),
     )
 
 

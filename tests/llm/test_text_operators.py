@@ -193,6 +193,19 @@ def test_language_of_pages(spark, monkeypatch):
     assert not any(r["kept"] for r in langid.identify_pages(df, langid.train(spark.createDataFrame([], "text string, lang string"))).collect())
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_texts_of_no_language_are_rejected(spark, size):
+    """With the production values, whatever the size of the corpus."""
+    own = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet").select("text", "lang")
+    rng = random.Random(8)
+    odd = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar", "人人生而自由在尊严和权利上一律平等", "Все люди рождаются свободными и равными", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι"]
+    odd += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40))]
+    sound = ["All human beings are born free and equal in dignity and rights"]
+    df = spark.createDataFrame([(t, "") for t in odd + sound], "text string, lang string")
+    got = {r["text"]: r["kept"] for r in langid.fuse(df, langid.train(own), F.col("text"), F.col("lang"), [], [F.col("text")]).collect()}
+    assert not any(got[t] for t in odd) and all(got[t] for t in sound)
+
+
 def test_priors_decide_doubtful_texts(spark):
     """A text that two languages share goes with its host, and without a host with its declaration."""
     rows = [(0, "xo ne ti " * 30, "aa"), (1, "xo ne ti " * 30, "bb"), (2, "ka ro mi " * 30, "aa"), (3, "sch wen tz " * 30, "bb")]
