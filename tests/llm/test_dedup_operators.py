@@ -217,19 +217,87 @@ def test_substrings_odd_tables(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"], len(r["spans"])) for r in got) == [("3", 0, 0), ("3", 0, 0), ("4", 60, 1), ("None", 0, 0), ("None", 0, 0)]
 
 
-def test_run_index():
+def strings(rng, least):
+    alphabet = rng.choice([b"a", b"ab", b"abc\0\xff"])
+    base = bytes(rng.choice(alphabet) for _ in range(60))
+    return [base[(k := rng.randrange(60 - least)) : k + rng.randint(least, 60)] for _ in range(rng.randint(2, 14))]
+
+
+def arrays(parts):
     import numpy as np
 
+    return b"".join(parts), np.array([len(x) for x in parts])
+
+
+def test_matching_statistics():
+    """Lengths and places of the longest matches, as brute force finds them."""
     rng = random.Random(6)
     for _ in range(60):
-        length, alphabet = rng.choice([7, 8, 12]), rng.choice([b"a", b"ab", b"abc\0\xff"])
-        base = bytes(rng.choice(alphabet) for _ in range(60))
-        parts = [base[(k := rng.randrange(40)) : k + rng.randint(1, 40)] for _ in range(rng.randint(1, 12))]
-        owners = np.array([rng.randint(0, 20) for _ in parts])
-        index = runindex.RunIndex(b"".join(parts), np.array([len(x) for x in parts]), owners, length)
-        least = {}
-        for x, o in zip(parts, owners, strict=True):
-            for k in range(len(x) - length + 1):
-                least[x[k : k + length]] = min(least.get(x[k : k + length], 99), o)
-        assert index.stream().tolist() == [least[x[k : k + length]] for x in parts for k in range(len(x) - length + 1)]
-        assert len(index.run_start) == len(index.run_first) == len(index.run_last) <= len(base) * len(parts) + len(parts)
+        cap = rng.choice([8, 15, 50])
+        parts = strings(rng, 1)
+        own, others = parts[: len(parts) // 2], parts[len(parts) // 2 :]
+        index = runindex.RunIndex(*arrays(own))
+        lengths, places = index.statistics(*arrays(others), cap)
+        text = [c - 1 for c in runindex.symbols(*arrays(own), 0)[0].tolist()]
+        at = 0
+        for x in others:
+            for i in range(len(x)):
+                most = max(k for k in range(min(cap, len(x) - i) + 1) if k == 0 or any(x[i : i + k] in y for y in own))
+                assert lengths[at] == most
+                assert text[places[at] : places[at] + most] == list(x[i : i + most])
+                at += 1
+
+
+def repeated(parts, owners, keys, window):
+    import numpy as np
+
+    body, sizes = arrays(parts)
+    return runindex.repeats(body, np.cumsum(sizes) - sizes, sizes, np.array(owners), np.array(keys), window).tolist()
+
+
+def test_repeats_of_smaller_owners():
+    rng = random.Random(7)
+    for _ in range(60):
+        window = rng.choice([8, 15])
+        parts = strings(rng, window)
+        owners = [rng.randint(0, 5) for _ in parts]
+        want = [any(x[i : i + window] in y and p < o for y, p in zip(parts, owners, strict=True)) for x, o in zip(parts, owners, strict=True) for i in range(len(x) - window + 1)]
+        assert repeated(parts, owners, [0] * len(parts), window) == want
+
+
+def test_samples_at_run_ends_decide(monkeypatch):
+    """Wrong samples make wrong matches: nothing else tells where a match stands."""
+    rng = random.Random(8)
+    base = bytes(rng.choice(b"abcdef") for _ in range(200))
+    parts = [base[(k := rng.randrange(150)) : k + 40] for _ in range(12)]
+    owners = list(range(12))
+    right = repeated(parts, owners, [0] * len(parts), 15)
+    build = runindex.RunIndex.__init__
+
+    def wrong(self, body, sizes):
+        build(self, body, sizes)
+        self.run_first, self.run_last = self.run_first * 0, self.run_last * 0
+
+    monkeypatch.setattr(runindex.RunIndex, "__init__", wrong)
+    assert any(right) and repeated(parts, owners, [0] * len(parts), 15) != right
+
+
+def test_hot_fingerprints_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 4)
+    monkeypatch.setattr(substring_dedup, "MANY", 3)
+    monkeypatch.setattr(substring_dedup, "WINDOWS", 5)
+    texts = repeats(random.Random(9))
+    want = brute_substrings(list(enumerate(texts)))
+    got = substring_dedup.dedup_substrings(docs(spark, texts).repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in got} == {i: (w[1], w[2]) for i, w in want.items()}
+
+
+def test_substrings_of_long_and_of_many_short_texts(spark):
+    """A text of some million words, a periodic one, and so many short ones that rows end a block."""
+    rng = random.Random(10)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1_000_000))
+    texts = [long, "ab" * 500_000, *("short" for _ in range(70_000)), long[1000:1200] + "!", "ab" * 100, None]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in substring_dedup.dedup_substrings(docs(spark, texts)).select("doc_id", "n_bytes", "n_removed").collect()}
+    n = len(texts)
+    assert got[0] == (len(long), 0) and got[1] == (1_000_000, 0) and got[n - 3] == (201, 200) and got[n - 2] == (200, 200) and got[n - 1] == (0, 0)
+    assert all(got[i] == (5, 0) for i in range(2, n - 3))
