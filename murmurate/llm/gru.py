@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-HIDDEN, WINDOW, LANES = 24, 24, 64
+HIDDEN, WINDOW, LANES = 24, 24, 512
+#: Fewer lanes learn from few symbols, so that there are about as many updates.
+UPDATES = 64
 #: Positions of a window and lanes while scoring.
-SCORE_WINDOW, SCORE_LANES = 64, 256
+SCORE_WINDOW, SCORE_LANES = 24, 512
 
 
 def word_classes(weights, count: int, most: int = 192):
@@ -54,12 +56,38 @@ class GRU:
         import numpy as np
 
         k = self.hidden
-        h = h * (symbols != 0)[:, None].astype(np.float32)
+        begins = np.flatnonzero(symbols == 0)
+        if len(begins):
+            h = h.copy()
+            h[begins] = 0
         x, y = self.p["in"][symbols], h @ self.p["u"]
-        zr = 0.5 * np.tanh(0.5 * (x[:, : 2 * k] + y[:, : 2 * k])) + np.float32(0.5)
+        zr = x[:, : 2 * k] + y[:, : 2 * k]
+        zr *= zr.dtype.type(0.5)
+        np.tanh(zr, out=zr)
+        zr *= zr.dtype.type(0.5)
+        zr += zr.dtype.type(0.5)
         z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(x[:, 2 * k :] + r * y[:, 2 * k :])
-        return h, z, r, c, y[:, 2 * k :], c + z * (h - c)
+        c = r * y[:, 2 * k :]
+        c += x[:, 2 * k :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return h, z, r, c, y[:, 2 * k :], new
+
+    @staticmethod
+    def softmax(logits, rows, picked):
+        """The picked log-probabilities of rows of logits, which become exponentials in place, and
+        the sums of those."""
+        import numpy as np
+
+        if logits.max() > 60:  # only then can an exponential overflow
+            logits -= logits.max(1, keepdims=True)
+        out = logits[rows, picked]
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        out -= np.log(total)
+        return out, total
 
     def log_probs(self, hs, targets, grads=None):
         """Natural log-probabilities of target symbols (a tail: of its class) after states."""
@@ -67,14 +95,12 @@ class GRU:
 
         p = self.p
         cls = self.class_of[targets]
-        logits = hs @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        d = hs @ p["c"]
+        d += p["cb"]
         rows = np.arange(len(cls))
-        out = logits[rows, cls] - np.log(total)
+        out, total = self.softmax(d, rows, cls)
         if grads is not None:
-            d = e / total[:, None]
+            d /= total[:, None]
             d[rows, cls] -= 1.0
             grads["c"], grads["cb"] = hs.T @ d, d.sum(0)
             dh = d @ p["c"].T
@@ -87,14 +113,14 @@ class GRU:
             if not len(at) or b - a == 1:
                 continue
             h = hs[at]
-            logits = h @ p["o"][a:b].T + p["ob"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total, word = e.sum(1), targets[at] - 1 - a
-            out[at] += logits[np.arange(len(at)), word] - np.log(total)
+            d = h @ p["o"][a:b].T
+            d += p["ob"][a:b]
+            rows, word = np.arange(len(at)), targets[at] - 1 - a
+            inside, total = self.softmax(d, rows, word)
+            out[at] += inside
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(at)), word] -= 1.0
+                d /= total[:, None]
+                d[rows, word] -= 1.0
                 grads["o"][a:b], grads["ob"][a:b] = d.T @ h, d.sum(0)
                 dh[at] += d @ p["o"][a:b]
         return (out, dh) if grads is not None else out
@@ -118,19 +144,31 @@ class GRU:
         dhs[real] = dh_real
         dhs = dhs.reshape(steps, lanes, k)
         g["u"] = np.zeros_like(self.p["u"])
-        dx_all = np.empty((steps, lanes, 3 * k), np.float32)
+        dx_all = np.empty((steps, lanes, 3 * k), flat.dtype)
         carry = np.zeros((lanes, k), np.float32)
         for t in range(steps - 1, -1, -1):
             before, z, r, c, y, _ = kept[t]
-            d = dhs[t] + carry
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before - c) * z * (1 - z)
-            dr = dc * y * r * (1 - r)
-            dx = np.concatenate((dz, dr, dc), 1)
-            dy = np.concatenate((dz, dr, dc * r), 1)
-            dx_all[t] = dx
+            d = dhs[t]
+            d += carry
+            carry = d * z
+            d -= carry  # d (1 - z)
+            dx = dx_all[t]
+            dz, dr, dc = dx[:, :k], dx[:, k : 2 * k], dx[:, 2 * k :]
+            np.subtract(before, c, out=dz)
+            dz *= d
+            dz *= z
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= d
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= y
+            dr *= dc
+            dy = dx.copy()
+            dy[:, 2 * k :] *= r
             g["u"] += before.T @ dy
-            carry = (d * z + dy @ self.p["u"].T) * (symbols[:, t] != 0)[:, None]
+            carry += dy @ self.p["u"].T
+            carry[symbols[:, t] == 0] = 0
         return lp, g, (symbols.T.reshape(-1), dx_all.reshape(-1, 3 * k)), h
 
     def train(self, texts, rate: float = 0.08, lanes: int = LANES, window: int = WINDOW, squares=None):
@@ -143,7 +181,7 @@ class GRU:
         n = len(flat) - 1
         if n < 1:
             return squares
-        lanes = max(1, min(lanes, n // window or 1))
+        lanes = max(1, min(lanes, n // (window * UPDATES)))
         steps = -(-n // lanes)
         pad = lanes * steps - n
         inputs = np.append(flat[:-1], np.zeros(pad, np.int64)).reshape(lanes, steps)

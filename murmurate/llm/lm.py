@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import lean, release, written
 from .gru import GRU
 
-#: The most words whose counts are broadcast; rarer words' counts are joined.
-HEAD = 200_000
+#: The most words whose counts are broadcast, none longer than HEAD_BYTES; those of rarer or longer words are joined.
+HEAD, HEAD_BYTES = 200_000, 64
 #: Words that the softmax tells apart, and classes of all others.
 WORDS, TAILS = 2048, 32
-#: The recurrent model learns from every training text, by replicas: each learns from about
-#: REPLICA_TOKENS (more where MAX_REPLICAS are too few), once in each of ROUNDS.
-REPLICA_TOKENS, MAX_REPLICAS, ROUNDS = 1_000_000, 256, 2
-#: Tokens scored at a time.
-BATCH_TOKENS = 400_000
+#: The recurrent model learns from every training text, by as many replicas as there are
+#: REPLICA_TOKENS, once in each of ROUNDS. Replicas are averaged by FAN at a time.
+REPLICA_TOKENS, ROUNDS, FAN = 4_000_000, 1, 64
+#: Tokens learnt from, and scored, at a time.
+BATCH_TOKENS = 800_000
 
 
 def held_out(doc_id) -> bool:
@@ -97,7 +97,12 @@ def _counts(docs: DataFrame) -> DataFrame:
                         seen.clear()
         yield out()
 
-    return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(lean(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _head(least: int):
+    """Whether a word's count is broadcast."""
+    return (F.col("c") >= least) & (F.octet_length("word") <= HEAD_BYTES)
 
 
 def _vocabulary(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -114,7 +119,7 @@ def _vocabulary(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, int]:
         least = r["least"]
     ids = docs.select(F.coalesce(F.col(docs.columns[0]).cast("string"), F.lit("")).alias("id"))
     ends = ids.where(F.crc32(F.col("id").cast("binary")) % 10 != 0).count()
-    rows = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
+    rows = counts.where(_head(least)).orderBy(F.desc("c"), "word").toArrow()
     words, c = [w.encode() for w in rows.column(0).to_pylist()], rows.column(1).to_numpy()
     tokens, kinds = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     last = F.conv(F.right(F.hex(F.col("word").cast("binary")), F.lit(2)), 16, 10).cast("int")
@@ -127,53 +132,78 @@ def _vocabulary(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(words, c, n, v, ends, tokens, kinds), least
 
 
-def _trained(docs: DataFrame, vocabulary, v: Vocabulary, rounds: int) -> GRU:
+def _batches(column, limit: int = BATCH_TOKENS):
+    """Slices of a column of symbols, of about ``limit`` tokens each: where it begins, its arrays."""
+    import numpy as np
+
+    lo, part, tokens = 0, [], 0
+    for i, x in enumerate(column):
+        part.append(np.frombuffer(x.as_buffer(), np.int16).astype(np.int64))
+        tokens += len(part[-1]) + 1
+        if tokens >= limit:
+            yield lo, part
+            lo, part, tokens = i + 1, [], 0
+    if part:
+        yield lo, part
+
+
+def _trained(encoded: DataFrame, id_col: str, v: Vocabulary, rounds: int) -> GRU:
     """A model averaged over replicas, each of which learns from its share of all training
-    texts; rounds begin with the average of the last one. Texts become symbols once, of two
-    bytes each, which are what the rounds deal and read."""
+    texts; rounds begin with the average of the last one. Rounds deal and read the texts'
+    symbols, of two bytes each."""
     import numpy as np
 
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     model = GRU(v.weights, TAILS, v.prior())
-    replicas = int(max(1, min(MAX_REPLICAS, v.n // REPLICA_TOKENS)))
-    own = docs.toDF("id", "text").where("text IS NOT NULL")
-    text_id = F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")
-    replica = F.pmod(F.shiftright(F.xxhash64("id", F.lit(9)), 20), F.lit(replicas)).cast("int")
-    learnt = own.where(F.crc32(text_id) % 10 != 0).select("id", "text", replica.alias("replica"))
-
-    def encoded(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                symbols = [vocabulary.value.encode(x.as_py().encode().lower().split())[0].astype(np.int16).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(symbols, pa.binary())], names=["id", "replica", "symbols"])
+    weights, names = v.weights, sorted(model.p)
+    replicas = max(1, math.ceil(v.n / REPLICA_TOKENS))
+    replica = F.pmod(F.shiftright(F.xxhash64(id_col, F.lit(9)), 20), F.lit(replicas)).cast("int")
+    learnt = encoded.where(~F.col("held_out") & (F.col("n_tokens") > 1)).select(id_col, replica.alias("replica"), "symbols")
+    dealt = learnt.repartitionById(replicas, F.col("replica")).sortWithinPartitions("replica", id_col).select("replica", "symbols")
+    kind = "replica int, seen long, " + ", ".join(f"{k} binary" for k in names)
+
+    def row(replica, seen, p):
+        return pa.RecordBatch.from_arrays([pa.array([replica], pa.int32()), pa.array([seen], pa.int64()), *(pa.array([p[k].astype(np.float32).tobytes()], pa.binary()) for k in names)], names=["replica", "seen", *names])
+
+    def average(key, group):
+        total, weight = {k: 0.0 for k in names}, 0
+        for r in group.to_batches(max_chunksize=1):
+            seen = r.column(1)[0].as_py()
+            weight += seen
+            for i, k in enumerate(names):
+                total[k] = total[k] + seen * np.frombuffer(r.column(2 + i)[0].as_buffer(), np.float32).astype(np.float64)
+        return pa.Table.from_batches([row(key[0].as_py(), weight, {k: x / weight for k, x in total.items()})])
 
-    types = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("replica", T.IntegerType()), T.StructField("symbols", T.BinaryType())])
-    dealt = written(learnt.mapInArrow(encoded, types)).repartitionById(replicas, F.col("replica")).sortWithinPartitions("id").select("symbols")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model.p)
 
         def run(batches):
-            own_model, squares, seen = GRU(vocabulary.value.weights, TAILS), None, 0
-            own_model.p = {k: x.copy() for k, x in shared.value.items()}
+            net, squares, seen, at, held, tokens = GRU(weights, TAILS), None, 0, 0, [], 0
+            net.p = {k: x.copy() for k, x in shared.value.items()}
             for b in batches:
-                for lo in range(0, b.num_rows, 512):
-                    texts = [np.frombuffer(x.as_py(), np.int16).astype(np.int64) for x in b.column(0).slice(lo, 512)]
-                    squares = own_model.train(texts, squares=squares)
-                    seen += sum(len(x) + 1 for x in texts)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), *(pa.array([own_model.p[k].astype(np.float32).tobytes()]) for k in sorted(own_model.p))], names=["seen", *sorted(own_model.p)])
-
-        names = sorted(model.p)
-        replicas_of_round = written(dealt.mapInArrow(run, "seen long, " + ", ".join(f"{k} binary" for k in names)))
-        # At most one row of about a megabyte for each replica is added up by the driver, a row at a time.
-        total, weight = {k: np.zeros(model.p[k].shape) for k in names}, 0
-        for r in replicas_of_round.toLocalIterator():
-            weight += r["seen"]
-            for k in names:
-                total[k] += r["seen"] * np.frombuffer(r[k], np.float32).reshape(total[k].shape)
-        if weight:
-            model.p = {k: (x / weight).astype(np.float32) for k, x in total.items()}
+                for _, part in _batches(b.column(1)):
+                    at = b.column(0)[0].as_py()
+                    held += part
+                    tokens += sum(len(x) + 1 for x in part)
+                    if tokens >= BATCH_TOKENS:
+                        squares, seen, held, tokens = net.train(held, squares=squares), seen + tokens, [], 0
+            if held:
+                net.train(held, squares=squares)
+            if seen + tokens:
+                yield row(at, seen + tokens, net.p)
+
+        found = written(dealt.mapInArrow(lean(run), kind))
+        n = replicas
+        while n > 1:  # a tree of averages on the executors
+            n = math.ceil(n / FAN)
+            merged = written(found.withColumn("replica", (F.col("replica") % n).cast("int")).groupBy("replica").applyInArrow(lean(average), kind))
+            release(found)
+            found = merged
+        rows = found.collect()  # one at most
+        release(found)
+        shared.unpersist()
+        if rows:
+            model.p = {k: np.frombuffer(rows[0][k], np.float32).reshape(model.p[k].shape).copy() for k in names}
     return model
 
 
@@ -190,73 +220,76 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     counts of all training texts. Null ids count as empty text. Repeated rows are scored each.
     Without training rows the model is the initial one. Other columns are not passed on.
 
-    Counts, symbols of training texts and scores are a pass over the texts each; every round
-    of the model is one over all those symbols. Counts of at most HEAD words are
-    broadcast; occurrences of rarer words meet their counts in a shuffle, by word.
+    Texts of any length are whole: the state is carried through all windows of a text. Ties among
+    words of one count go by their bytes, so that results do not depend on the order of rows.
+
+    Texts are read twice, for counts and for symbols; the model learns from and scores symbols.
+    Replicas follow the number of training tokens, and are averaged in a tree on the executors;
+    the driver gets one. Counts of at most HEAD words are broadcast; occurrences of rarer
+    words meet their counts in a shuffle, by word.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col), F.col(text_col))
     counts = written(_counts(own))
     v, least = _vocabulary(own, counts)
     vocabulary = spark.sparkContext.broadcast(v)
-    model = spark.sparkContext.broadcast(_trained(own, vocabulary, v, rounds).p)
-    id_type = own.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField(id_col, id_type), T.StructField("held_out", T.BooleanType())]
-        + [T.StructField(c, T.LongType()) for c in ("_row", "n_tokens", "_known")]
-        + [T.StructField(c, T.DoubleType()) for c in ("_base", "_score")]
-        + [T.StructField("_rare", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("t", T.IntegerType())])))]
-    )
+    small = [T.StructField(id_col, own.schema[id_col].dataType), T.StructField("held_out", T.BooleanType())] + [T.StructField(c, T.LongType()) for c in ("_row", "n_tokens", "_known")] + [T.StructField("_base", T.DoubleType())]
+    rare_words = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("t", T.IntegerType())]))
+    schema = T.StructType([*small, T.StructField("_inside", T.DoubleType()), T.StructField("symbols", T.BinaryType()), T.StructField("_rare", rare_words)])
 
-    def run(batches):
+    def encode(batches):
         from collections import Counter
 
         import numpy as np
         from pyspark import TaskContext
 
         vocab = vocabulary.value
-        net = GRU(vocab.weights, TAILS)
-        net.p = model.value
         row = TaskContext.get().partitionId() << 33
         rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()), ("t", pa.int32())]))
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                ids, texts = b.column(0).slice(lo, 512), b.column(1).slice(lo, 512)
+                symbols, tokens, known, base, inside, offsets, words, times, classes = [], [], [], [], [], [0], [], [], []
+                for x in texts:
+                    s, at, rare = vocab.encode((x.as_py() or "").encode().lower().split())
+                    symbols.append(s.astype(np.int16).tobytes())
+                    tokens.append(len(s) + 1)
+                    frequent = at[at >= 0]
+                    known.append(len(frequent) + (vocab.ends > 0))
+                    base.append(float(vocab.base[frequent].sum()) + vocab.end_base)
+                    inside.append(float(vocab.inside[frequent].sum()))
+                    for w, n in Counter(rare).items():
+                        words.append(w), times.append(n), classes.append(tail_class(w))
+                    offsets.append(len(words))
+                rows = np.arange(row, row + len(ids))
+                row += len(ids)
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()), pa.array(classes, pa.int32())], names=["word", "n", "t"]))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(rows), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(symbols, pa.binary()), rare.cast(rare_type)],
+                    names=schema.names,
+                )
+
+    encoded = written(own.mapInArrow(lean(encode), schema))
+    vocabulary.unpersist()
+    model = spark.sparkContext.broadcast(_trained(encoded, id_col, v, rounds).p)
+    weights, scored_schema = v.weights, T.StructType([*small, T.StructField("_score", T.DoubleType())])
 
-        def out(ids, part):
-            nonlocal row
-            symbols, known, base, inside, offsets, words, times, classes = [], [], [], [], [0], [], [], []
-            for s, at, rare in part:
-                symbols.append(s)
-                frequent = at[at >= 0]
-                known.append(len(frequent) + (vocab.ends > 0))
-                base.append(float(vocab.base[frequent].sum()) + vocab.end_base)
-                inside.append(float(vocab.inside[frequent].sum()))
-                for w, n in Counter(rare).items():
-                    words.append(w), times.append(n), classes.append(tail_class(w))
-                offsets.append(len(words))
-            scores = net.score(symbols) / math.log(10) + np.array(inside)
-            rows = np.arange(row, row + len(part))
-            row += len(part)
-            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()), pa.array(classes, pa.int32())], names=["word", "n", "t"]))
-            return pa.RecordBatch.from_arrays(
-                [ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(rows), pa.array([len(s) + 1 for s in symbols], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), rare.cast(rare_type)], names=schema.names
-            )
-
+    def run(batches):
+        net = GRU(weights, TAILS)
+        net.p = model.value
         for b in batches:
-            lo, part, tokens = 0, [], 0
-            for i, x in enumerate(b.column(1)):
-                part.append(vocab.encode((x.as_py() or "").encode().lower().split()))
-                tokens += len(part[-1][0]) + 1
-                if tokens >= BATCH_TOKENS:
-                    yield out(b.column(0).slice(lo, i + 1 - lo), part)
-                    lo, part, tokens = i + 1, [], 0
-            if part:
-                yield out(b.column(0).slice(lo), part)
-
-    scored = written(own.mapInArrow(run, schema))
+            for lo, part in _batches(b.column(len(small) + 1)):
+                own_rows = b.slice(lo, len(part))
+                scores = net.score(part) / math.log(10) + own_rows.column(len(small)).to_numpy()
+                yield pa.RecordBatch.from_arrays([*own_rows.columns[: len(small)], pa.array(scores)], names=scored_schema.names)
+
+    scored = written(encoded.drop("_rare").mapInArrow(lean(run), scored_schema))
+    model.unpersist()
     tail_total = F.array(*(F.lit(float(x)) for x in v.tail_total))
-    rare = scored.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.n", "r.t")
+    rare = encoded.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.n", "r.t")
     c = F.coalesce("c", F.lit(0))
     sums = (
-        rare.join(counts.where(F.col("c") < least), "word", "left")
+        rare.join(counts.where(~_head(least)), "word", "left")
         .groupBy("_row").agg(
             F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_rare_known"),
             F.sum(F.col("n") * F.log10((c + 0.1) / v.base_total)).alias("_rare_base"),
@@ -264,7 +297,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         )
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.drop("_rare").join(sums, "_row", "left").select(
+    return scored.join(sums, "_row", "left").select(
         id_col, "held_out", "n_tokens", (F.col("_known") + zero("_rare_known")).alias("n_known"), F.lit(v.n).cast("long").alias("train_tokens"),
         (F.col("_base") + zero("_rare_base")).alias("base_score"), (F.col("_score") + zero("_rare_score")).alias("score"),
     )

@@ -51,15 +51,57 @@ def test_lm_scores(spark, monkeypatch, head):
 
 def test_lm_learns_from_every_training_text(spark, monkeypatch):
     """Whatever the number of tokens, a round learns from all of them."""
-    monkeypatch.setattr(lm, "SAMPLE_TOKENS", 1000, raising=False)  # of the sample that once was
-    monkeypatch.setattr(lm, "REPLICA_TOKENS", 2000)
+    monkeypatch.setattr(lm, "REPLICA_TOKENS", 1000)
+    monkeypatch.setattr(lm, "FAN", 3)
     kept, write = [], lm.written
+    monkeypatch.setattr(lm, "release", lambda *frames: None)
     monkeypatch.setattr(lm, "written", lambda df: kept.append(write(df)) or kept[-1])
     df = spark.createDataFrame(list(enumerate(sentences(random.Random(2), 300))), "doc_id long, text string")
     tokens = lm.score(df).first()["train_tokens"]
-    rounds = [[r["seen"] for r in x.select("seen").collect()] for x in kept if "seen" in x.columns]
-    assert len(rounds) == lm.ROUNDS and tokens > 4000
-    assert all(len(seen) > 1 and sum(seen) == tokens for seen in rounds)
+    levels = [[r["seen"] for r in x.select("seen").collect()] for x in kept if "seen" in x.columns]
+    assert tokens > 4000 and len(levels[0]) > 4 and len(levels[-1]) == 1
+    assert all(sum(seen) == tokens for seen in levels)
+
+
+def plain_score(net, symbols):
+    """Log-probability of symbols and their end, by the formulas alone, a symbol at a time."""
+    import numpy as np
+
+    p, k, h, total, before = net.p, net.hidden, np.zeros(net.hidden), 0.0, 0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for s in [*symbols, 0]:
+        x, y = p["in"][before], h @ p["u"]
+        z, r = sigmoid(x[:k] + y[:k]), sigmoid(x[k : 2 * k] + y[k : 2 * k])
+        c = np.tanh(x[2 * k :] + r * y[2 * k :])
+        h = (1 - z) * c + z * h
+        e = np.exp(h @ p["c"] + p["cb"])
+        kind = net.class_of[s]
+        total += math.log(e[kind] / e.sum())
+        if 1 <= kind <= net.n_word_classes:
+            a, b = net.bounds[kind - 1], net.bounds[kind]
+            e = np.exp(p["o"][a:b] @ h + p["ob"][a:b])
+            total += math.log(e[s - 1 - a] / e.sum())
+        before = s
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass():
+    import numpy as np
+
+    net, rng = GRU([9, 7, 5, 3, 2, 1, 1], 4, classes=3), np.random.default_rng(2)
+    texts = [rng.integers(1, 12, n) for n in (0, 1, 30, 200)]
+    net.train(texts * 5)
+    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-3)
+
+
+def test_lm_scores_a_text_of_a_million_words(spark):
+    """Whole, and the counts of words too long to be broadcast are joined."""
+    long = " ".join(["w1 w2 " + "y" * 100] * 350_000)
+    rows = [(1, long), (2, "w1 w2 w3"), (3, "w1 " + "x" * 1_000_000), (4, "x" * 1_000_000)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_tokens"] == 1_050_001 and all(r["n_known"] == r["n_tokens"] for r in got.values())
+    assert all(math.isfinite(r["score"]) for r in got.values())
 
 
 def test_lm_odd_tables(spark):
