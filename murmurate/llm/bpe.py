@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: A rank file is broadcast; larger ones are refused.
 MAX_RANK_FILE_BYTES = 64 << 20
 
@@ -22,9 +24,9 @@ PIECE_CHARS = 1 << 16
 #: place is matched as if the text began there.
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
 #: The pattern's look-ahead branch backtracks through runs of white space, and the library's
-#: stack ends at long ones. Such a run, white space on neither side, is one match without its
+#: stack ends at long ones. Such a run, of whatever white space, is one match without its
 #: last character, or whole at the text's end; it goes to the merges directly.
-_LONG_SPACE = re.compile(r"(?<!\s)[\x20\x09-\x0D]{512,}(?!\s)")
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
 
 _cache: dict = {}
 
@@ -89,7 +91,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
     unknown (their strings are ordinary text).
 
     Null text counts as empty and gives an empty array. A column already named ``ids_col`` is
-    replaced; all others stay. Rows are independent, so repeated rows give repeated results,
+    replaced; all others stay. Texts of any length are encoded whole: long ones in pieces cut where
+    matches end, long runs of any white space as the one match they are. Rows are independent, so repeated rows give repeated results,
     an empty table an empty one, and no row is shuffled. The rank file is read by the driver
     and broadcast, its size checked."""
     ranks = _ranks(df, rank_file)
@@ -108,7 +111,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *part])))
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).slice(lo, 512) for c in keep), ids], names=[*keep, ids_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -127,4 +130,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", by
                 raw = [enc.decode_bytes(x.values.to_pylist()) if x.is_valid and len(x.values) else b"" for x in ids.slice(lo, 512)]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).slice(lo, 512) for c in keep), pa.array(raw, pa.binary())], names=[*keep, bytes_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

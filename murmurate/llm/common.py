@@ -118,6 +118,14 @@ def lean(run: Callable) -> Callable:
     return two
 
 
+def private(columns, *names: str) -> list[str]:
+    """Names for columns of an operator's own that clash with none of ``columns``."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

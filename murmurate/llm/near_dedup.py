@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, lean, private, release, written
 from .shingles import shingle_set
 
 #: Bands of ROWS registers: a pair of Jaccard similarity 0.75 is missed with probability
@@ -23,8 +23,9 @@ BASE, RATE, TOP = 1.02, 20.0, 65535
 DOUBT = 8.0
 #: Rounds of stars, and the most members and unsettled members of a bucket compared at a time.
 STARS, BLOCK, ASKS = 2, 4096, 1024
-#: The most members of a hub that one group of the proof holds, and words of the id bitmap.
-SHARE, BITMAP = 1024, 1 << 18
+#: The most members, and about the most shingles of their sets, that one group of the proof
+#: holds, and words of the id bitmap.
+SHARE, SHINGLES, BITMAP = 1024, 1 << 21, 1 << 18
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 
@@ -99,7 +100,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sketches.append(sketch(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64)), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n", "key", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, key binary, sketch binary")
+    return docs.mapInArrow(lean(run), "id long, n long, key binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep = pa.array(beaten < DOUBT)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(j).filter(keep)], names=["a", "b", "j"])
 
-    return pairs.join(one, "a").join(other, "b").where(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, j double")
+    return pairs.join(one, "a").join(other, "b").where(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long, j double")
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     words = ids.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits")).toArrow()
     table = np.zeros(BITMAP, np.uint64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    bitmap = docs.sparkSession.sparkContext.broadcast(table)
+    bitmap = docs.sparkSession.sparkContext.broadcast(table)  # of a fixed size
 
     def some(batches):
         for b in batches:
@@ -212,7 +213,7 @@ def _proved(docs: DataFrame, groups: DataFrame) -> DataFrame:
         if held[0]:
             yield prove(*held)
 
-    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(run, "a long, b long")
+    return rows.repartition("g").sortWithinPartitions("g", "id").mapInArrow(lean(run), "a long, b long")
 
 
 class _Links:
@@ -227,7 +228,8 @@ class _Links:
         some SHARE of its members is a group."""
         one = self.across(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         maybe = written(_estimated(one, self.classes).select("a", "b"))
-        shares = maybe.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("ng"))
+        sized = maybe.join(self.classes.select(F.col("rep").alias("b"), "n"), "b")
+        shares = sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / SHARE, F.sum("n") / SHINGLES)).cast("int").alias("ng"))
         dealt = maybe.join(shares, "a").withColumn("g", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("ng"))))
         hubs = dealt.select("g", F.col("a").alias("id"), F.lit(True).alias("asks")).distinct()
         self.prove(self.labelled(hubs.union(dealt.select("g", F.col("b").alias("id"), F.lit(False).alias("asks"))), "id", "c"))
@@ -257,9 +259,10 @@ def _unsettled(still: DataFrame, classes: DataFrame) -> DataFrame:
     Large buckets are dealt over blocks of members times blocks of unsettled ones. Pairs stay
     inside the comparison: what leaves it are the members with a pair that their sketches do not
     exclude. A pair that shares several bands is looked at in the first alone."""
-    parts = still.groupBy("key", "c").agg(F.count("*").alias("_n"))
-    modes = parts.groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("mode"), F.sum("_n").alias("n"), F.max("_n").alias("_most"))
-    sized = modes.select("key", "mode", F.ceil(F.col("n") / BLOCK).cast("int").alias("ns"), F.ceil((F.col("n") - F.col("_most")) / ASKS).cast("int").alias("nq"))
+    parts = still.join(classes.select("rep", "n"), "rep").groupBy("key", "c").agg(F.count("*").alias("_n"), F.sum("n").alias("_w"))
+    modes = parts.groupBy("key").agg(F.max_by(F.struct("c", "_n", "_w"), F.struct("_n", "c")).alias("_m"), F.sum("_n").alias("n"), F.sum("_w").alias("w"))
+    blocks = lambda n, most, w: F.ceil(F.greatest(n / most, w / SHINGLES)).cast("int")
+    sized = modes.select("key", F.col("_m.c").alias("mode"), blocks(F.col("n"), BLOCK, F.col("w")).alias("ns"), blocks(F.col("n") - F.col("_m._n"), ASKS, F.col("w") - F.col("_m._w")).alias("nq"))
     rows = still.join(sized, "key").join(classes, "rep")
     deal = lambda by, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(by)).cast("int")
     each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
@@ -311,7 +314,7 @@ def _unsettled(still: DataFrame, classes: DataFrame) -> DataFrame:
                 yield found
 
     dealt = stored.union(asking).select(F.xxhash64("key", "sb", "qb").alias("g"), "asks", "open", *own)
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, id long, c long, asks boolean")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), "g long, id long, c long, asks boolean")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +325,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ``component_id`` the smallest id reachable over links, itself included, ``kept`` whether
     that is the row's own. Null and empty texts, and texts without a word, link with nothing;
     so do null ids, whose component is null and which are kept. Rows with one id are one
-    document: repeated rows share its result. Other columns are not passed on; an empty table
+    document: repeated rows share its result. Texts of any length are whole: the sets of a group
+    that is proved at once have about SHINGLES shingles, or one text. Other columns are not passed on; an empty table
     gives an empty one.
 
     Rows with equal sets become one class by a partial aggregation. A class has BANDS band keys
@@ -349,4 +353,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     result = links.labelled(classes.select("key", "rep"), "rep", "component")
     out = sets.select("id", "n", "key").join(result.select("key", "component"), "key", "left")
     component = F.coalesce("component", "id")
+    release(members)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), (F.col("id").isNull() | F.col("id").eqNullSafe(component)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document ``link`` keeps, and of rows alike in id and text one.
+    Rows with null ids stay; so do all columns.
+
+    Plan: what to leave out is decided on ids. A bitmap of fixed size of the ids that are left out or
+    repeated is joined by broadcast; rows outside it, nearly all, go on from where they lie, the
+    others meet the ids in a shuffle."""
+    found = link(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    marked = written(found.groupBy(F.col(id_col).alias("id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1"))
+    _id, _word, _bits, _text, _kept = private(docs.columns, "id", "word", "bits", "text", "kept")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP * 64))
+    word, place = lambda c: F.floor(bit(c) / 64).cast("int"), lambda c: F.pmod(bit(c), F.lit(64)).cast("int")
+    words = marked.groupBy(word("id").alias(_word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place("id"))).alias(_bits))
+    own = docs.withColumn(_id, F.col(id_col).cast("long"))
+    tagged = own.join(F.broadcast(words), word(_id) == F.col(_word), "left").withColumn(_bits, F.coalesce(F.getbit(_bits, place(_id)) == 1, F.lit(False)) & F.col(_id).isNotNull())
+    clean = tagged.where(~F.col(_bits)).select(*docs.columns)
+    doubtful = tagged.where(_bits).join(marked.select(F.col("id").alias(_id), F.col("kept").alias(_kept)), _id, "left").where(F.coalesce(F.col(_kept), F.lit(True)))
+    return clean.union(doubtful.withColumn(_text, F.xxhash64(text_col)).dropDuplicates([_id, _text]).select(*docs.columns))

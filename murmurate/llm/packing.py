@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 #: Lengths up to this are histogram bins of their own; above, a bin spans 1/EXACT of its
 #: power of two, so that the histogram has at most EXACT * 60 bins whatever the lengths.
@@ -85,14 +85,15 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
     and length; ``budget // bucket_len`` consecutive rows (one at least, so that a text beyond
     the budget is a batch of its own, whole) make a batch, and every batch of a bucket but its
     last is full. Null ids and repeated rows are rows like any other and each gets a slot. An
-    empty table gives an empty one; other columns are not passed on.
+    empty table gives an empty one; other columns are not passed on. Texts of any length count
+    whole.
 
-    Plan: one pass for the histogram, whose bins (bounded) go to the driver; one shuffle of
+    Plan: texts are read once, for (id, length), which is written and read from there. The histogram's bins (bounded) go to the driver; one shuffle of
     (id, length) by bucket and shard, a window inside each shard, and a broadcast of shard
     offsets, at most ``buckets * SHARDS`` rows. A hot bucket is dealt over all its shards.
     """
     n = F.coalesce(length, F.lit(0)).cast("long") if length is not None else n_words(F.col(text_col))
-    own = docs.select(F.col(id_col).alias("_id"), n.alias("n_tokens")).withColumn("_bin", length_bin(F.col("n_tokens")))
+    own = written(docs.select(F.col(id_col).alias("_id"), n.alias("n_tokens"))).withColumn("_bin", length_bin(F.col("n_tokens")))
     histogram = own.groupBy("_bin").count().collect()
     bounds = optimal_bounds([r["_bin"] for r in histogram], [r["count"] for r in histogram], buckets)
     bound_array = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")

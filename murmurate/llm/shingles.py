@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 SHINGLE = 5
-_CACHE_WORDS = 300_000
+_CACHE_WORDS, _CACHE_BYTES = 200_000, 32
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -13,7 +13,9 @@ class _WordHashes(dict):
 
         if len(self) >= _CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _CACHE_BYTES:
+            self[word] = value
         return value
 
 

@@ -79,14 +79,15 @@ def enc():
 
 def test_pieces_encode_as_the_whole(enc):
     rng = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", "a", "bc", "1", "'s", "é", "漢", "!!", " " * 600, "\n" * 700, " ", "<|endoftext|>"]
+    parts = [" ", "  ", "\n", "\t", "a", "bc", "1", "'s", "é", "漢", "!!", " " * 600, "\n" * 700, " ", "<|endoftext|>", "\u00a0", "\u00a0" * 600, "\u3000", "\x85", "\x1c", "\u2003" * 520]
     for _ in range(400):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 50)))
         assert bpe.encode_text(enc, t, size=10).tolist() == enc.encode_ordinary(t)
 
 
 def test_very_long_texts(enc):
-    for t in ("a" * 300_000, "b" + " " * 2_000_000 + "x", "word " * 100_000):
+    spaces = ["\u00a0" * 2_000_000, "\u3000" + " " * 1_000_000, "\x85" * 1_000_000 + "\u2009"]
+    for t in ("a" * 300_000, "b" + " " * 2_000_000 + "x", "word " * 100_000, *("a" + x + "b" for x in spaces), *(x + "b" for x in spaces), *("a" + x for x in spaces)):
         assert enc.decode_bytes(bpe.encode_text(enc, t).tolist()) == t.encode()
 
 
@@ -216,6 +217,70 @@ def test_priors_decide_doubtful_texts(spark):
     assert got[50] == "aa" and got[51] == "bb"
 
 
+def brute_fused(rows, model, k, alpha=langid.ALPHA, beta=langid.BETA):
+    """Posterior, language and verdict of rows (text, declared, host, suffix), by the formulas alone."""
+    import numpy as np
+
+    evidence = []
+    for text, *_ in rows:
+        at = langid.trigrams(text) if text else np.empty(0, np.int64)
+        if not len(at):
+            evidence.append(None)
+            continue
+        mean, odds = model.logp[at].mean(0), model.odds[at].mean(0)
+        ll = mean * min(len(at), langid.MAX_EVIDENCE)
+        p = np.exp(ll - ll.max())
+        best = mean.argmax()
+        evidence.append((ll, p / p.sum(), (model.mean[best] - mean[best]) / model.sd[best] <= langid.MAX_SDS and odds.max() * min(len(at), langid.MAX_EVIDENCE) >= np.log(langid.NONE)))
+    sound = [i for i, e in enumerate(evidence) if e]
+    total = sum(evidence[i][1] for i in sound)
+    share = total / len(sound)
+    out = []
+    for i, (_, said, *levels) in enumerate(rows):
+        if not evidence[i]:
+            out.append((None, None, False))
+            continue
+        ll, own, usual = evidence[i]
+        prior = share
+        for j in reversed(range(len(levels))):  # the coarsest first
+            same = [x for x in sound if rows[x][2 + j :] == rows[i][2 + j :]]
+            prior = (sum(evidence[x][1] for x in same) - own + alpha * prior) / (len(same) - 1 + alpha)
+        same = [x for x in sound if rows[x][1] == said]
+        given = (sum(evidence[x][1] for x in same) - own + beta * len(same) / len(sound)) / (total + beta)
+        s = ll + np.log(np.maximum(prior, 1e-12)) + np.log(np.maximum(given, 1e-12))
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        out.append((model.languages[int(s.argmax())], float(p.max()), bool(p.max() >= langid.MIN_POSTERIOR and usual)))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    text, labelled = language_rows()
+    model = langid.train(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    rng = random.Random(12)
+    texts = [text(rng.choice(["aa", "bb", "cc"]))[: rng.choice([3, 8, 20, 400])] for _ in range(80)] + ["xo ne", "123", "", None, "ka " * 400_000, text("aa") * 300]
+    rows = [(t, rng.choice(["", "aa", "bb", "zz"]), f"h{rng.randrange(4)}.com", "com") for t in texts]
+    df = spark.createDataFrame([(i, *r, "clash") for i, r in enumerate(rows)], "id long, t string, said string, host string, suffix string, _text string").withColumn("_ll", F.lit(1)).withColumn("_c0", F.lit(1))
+    found = langid.fuse(df, model, F.col("t"), F.col("said"), [F.col("host"), F.col("suffix")], [F.col("id"), F.col("_text"), F.col("_ll"), F.col("_c0")]).collect()
+    want = brute_fused(rows, model, 3)
+    for r in found:
+        lang, posterior, kept = want[r["id"]]
+        assert (r["language"], r["kept"], r["_text"], r["_ll"], r["_c0"]) == (lang, kept, "clash", 1, 1)
+        assert posterior is None and r["posterior"] is None or abs(r["posterior"] - posterior) < 2e-6
+    assert len(found) == len(rows)
+
+
+def test_languages_beyond_the_most_are_one(spark):
+    _, labelled = language_rows()
+    rows = labelled + [(100 + i, f"zu zu lo{i} " * 5, f"x{i:03d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, most=4)
+    assert model.languages == ["aa", "bb", "cc", langid.OTHER]
+    found = langid.fuse(df, model, F.col("text"), F.lit(""), [], [F.col("doc_id")]).collect()
+    assert len(found) == len(rows) and all(r["language"] == langid.OTHER for r in found if r["doc_id"] >= 100)
+    assert len(langid.train(df).languages) == langid.MAX_LANGUAGES
+
+
 def test_host_levels(spark):
     urls = {"http://u@WWW.a.co.uk:80/x": ("www.a.co.uk", "a.co.uk", "co.uk"), "https://b.example.org": ("b.example.org", "example.org", "org"), "nonsense": (None, None, None)}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
@@ -287,5 +352,11 @@ def test_line_dedup(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
     assert got == brute_lines([(None if i == 0 else i, t) for i, t in enumerate(texts)])
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "doc_id AS _id", "1 AS _t", "2 AS _w", "3 AS _lines", "4 AS _starts", "5 AS _gone", "6 AS _id2", "7 AS __t2", "8 AS _T2")
+    rows = line_dedup.dedup_lines(clash).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == got and all((r["_id"], r["_t"], r["_w"], r["_lines"], r["_starts"], r["_gone"], r["_id2"], r["__t2"], r["_T2"]) == (r["doc_id"], 1, 2, 3, 4, 5, 6, 7, 8) for r in rows)
+    long = "\n".join(f"line {i} of many" for i in range(300_000))
+    rows = line_dedup.dedup_lines(docs(spark, [long, "x\n" + long, None])).orderBy("doc_id").collect()
+    assert rows[0]["text"] == long and rows[1]["text"] == "x" and rows[1]["n_removed"] == 300_000 and rows[2]["text"] is None
     twin = line_dedup.dedup_lines(docs(spark, ["a\nb\nc"] * 3, [1, 1, 2])).orderBy("doc_id").collect()
     assert [r["text"] for r in twin] == ["a\nb\nc", "a\nb\nc", ""] and twin[0]["n_lines"] == 3
