@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurate.llm import langid, line_dedup, near_dedup, packing, substring_dedup
-from murmurate.llm.common import table, written
+from murmurate.llm.common import release, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is certain, with that language in ``lang``. The model learns from
-    ``docs``; the column ``lang`` is the declaration, ``source`` the place. Rejected: null
+    ``docs``, whole texts of any length; the column ``lang`` is the declaration, ``source`` the place. Rejected: null
     texts, texts without letters, texts unlike every language, doubtful ones."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs)
@@ -35,11 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id of each component; of rows alike in id and text, one."""
-    docs = docs.select(*COLUMNS)
-    gone = near_dedup.link(docs).where("NOT kept").select("doc_id").distinct()
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    left = docs.join(gone, "doc_id", "left_anti")
-    return left.withColumns({"_text": F.xxhash64("text"), "_own": own}).dropDuplicates(["doc_id", "_text", "_own"]).select(*COLUMNS)
+    return near_dedup.keep_one(docs.select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +49,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every row."""
+    """Bucket, batch and slot of every row, repeated ones and those with null ids too; null and
+    empty texts have no words and go to the bucket of the shortest."""
     return packing.pack(docs)
 
 
@@ -64,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:  # the last one's rows are no longer read
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
