@@ -223,25 +223,23 @@ class GRU:
             at[i] = k, used
             heapq.heappush(heap, (used + int(n[i]), k))
         steps = max(used for used, _ in heap)
-        inputs, targets, doc = np.zeros((lanes, steps), np.int64), np.zeros((lanes, steps), np.int64), np.full((lanes, steps), -1, np.int32)
+        inputs, targets, doc = np.zeros((steps, lanes), np.int16), np.zeros((steps, lanes), np.int16), np.full((steps, lanes), -1, np.int32)
         for i, x in enumerate(texts):
             k, a = at[i]
-            inputs[k, a + 1 : a + n[i]] = x
-            targets[k, a : a + n[i] - 1] = x
-            doc[k, a : a + n[i]] = i
+            inputs[a + 1 : a + n[i], k] = x
+            targets[a : a + n[i] - 1, k] = x
+            doc[a : a + n[i], k] = i
         total = np.zeros(len(n))
         h = np.zeros((lanes, self.hidden), np.float32)
         for a in range(0, steps, window):
             b = min(steps, a + window)
             hs = np.empty((b - a, lanes, self.hidden), np.float32)
             for t in range(a, b):
-                h = hs[t - a] = self.gates(h, inputs[:, t])[-1]
-            d = doc[:, a:b].T.reshape(-1)
+                h = hs[t - a] = self.gates(h, inputs[t])[-1]
+            d, flat, after = doc[a:b].reshape(-1), hs.reshape(-1, self.hidden), targets[a:b].reshape(-1)
             real = d >= 0
-            if real.all():
-                lp = self.log_probs(hs.reshape(-1, self.hidden), targets[:, a:b].T.reshape(-1))
-                total += np.bincount(d, lp, len(n))
-            elif real.any():
-                lp = self.log_probs(hs.reshape(-1, self.hidden)[real], targets[:, a:b].T.reshape(-1)[real])
-                total += np.bincount(d[real], lp, len(n))
+            if not real.all():
+                d, flat, after = d[real], flat[real], after[real]
+            if len(d):
+                total += np.bincount(d, self.log_probs(flat, after), len(n))
         return total

@@ -20,8 +20,8 @@ WORDS, TAILS = 2048, 32
 #: The recurrent model learns from every training text, by as many replicas as there are
 #: REPLICA_TOKENS, once in each of ROUNDS. Replicas are averaged by FAN at a time.
 REPLICA_TOKENS, ROUNDS, FAN = 4_000_000, 1, 64
-#: Tokens learnt from, and scored, at a time.
-BATCH_TOKENS = 800_000
+#: Tokens learnt from at a time, and scored: so many that a long text leaves no lanes idle.
+BATCH_TOKENS, SCORE_TOKENS = 800_000, 4_000_000
 
 
 def held_out(doc_id) -> bool:
@@ -132,13 +132,13 @@ def _vocabulary(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(words, c, n, v, ends, tokens, kinds), least
 
 
-def _batches(column, limit: int = BATCH_TOKENS):
+def _batches(column, limit: int):
     """Slices of a column of symbols, of about ``limit`` tokens each: where it begins, its arrays."""
     import numpy as np
 
     lo, part, tokens = 0, [], 0
     for i, x in enumerate(column):
-        part.append(np.frombuffer(x.as_buffer(), np.int16).astype(np.int64))
+        part.append(np.frombuffer(x.as_buffer(), np.int16))
         tokens += len(part[-1]) + 1
         if tokens >= limit:
             yield lo, part
@@ -181,7 +181,7 @@ def _trained(encoded: DataFrame, id_col: str, v: Vocabulary, rounds: int) -> GRU
             net, squares, seen, at, held, tokens = GRU(weights, TAILS), None, 0, 0, [], 0
             net.p = {k: x.copy() for k, x in shared.value.items()}
             for b in batches:
-                for _, part in _batches(b.column(1)):
+                for _, part in _batches(b.column(1), BATCH_TOKENS):
                     at = b.column(0)[0].as_py()
                     held += part
                     tokens += sum(len(x) + 1 for x in part)
@@ -278,7 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         net = GRU(weights, TAILS)
         net.p = model.value
         for b in batches:
-            for lo, part in _batches(b.column(len(small) + 1)):
+            for lo, part in _batches(b.column(len(small) + 1), SCORE_TOKENS):
                 own_rows = b.slice(lo, len(part))
                 scores = net.score(part) / math.log(10) + own_rows.column(len(small)).to_numpy()
                 yield pa.RecordBatch.from_arrays([*own_rows.columns[: len(small)], pa.array(scores)], names=scored_schema.names)
