@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pyarrow as pa
@@ -9,21 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import lean, private, release, written
 
-#: Trees, rows a tree sees and their product, the bound of the sample the forest is fitted on.
-TREES, SUBSAMPLE = 100, 256
-#: Share of the good labelled rows that the threshold may reject, and bins of its histogram.
-MAX_FALSE_REJECTS, BINS = 0.01, 4096
+#: Trees of a forest, rows a tree sees, and the most rows that forests are fitted on.
+TREES, SUBSAMPLE, SAMPLE = 50, 256, 25_600
+#: Share of the good labelled rows that all thresholds together may reject, the least by which a
+#: threshold's share of bad rows must exceed its share of good ones, and bins of histograms.
+MAX_FALSE_REJECTS, MIN_GAIN, BINS = 0.01, 0.02, 4096
 
 _SPACES, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _M = 0x9E3779B97F4A7C15
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct"]
-#: What the forest sees. Length and repetition are left to the base rules: they are rare but
-#: harmless in sound texts, and a forest would reject the rare.
-FEATURES = ["word_length", "symbols"]
+#: Rates and logarithms of the statistics, and the families of them that a forest each sees. Of
+#: all at once a forest isolates what is merely rare, such as very long sound texts.
+FEATURES = ["word_length", "symbols", "upper", "distinct", "dup_lines", "repeats", "length", "line_length"]
+FAMILIES = {"words": ["word_length", "symbols"], "variety": ["word_length", "distinct"], "case": ["upper", "distinct"], "repetition": ["dup_lines", "repeats"], "shape": ["length", "line_length"]}
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
@@ -83,7 +86,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = np.array([text_stats(x.as_py()) for x in b.column(1)], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found.T)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def features(s):
@@ -91,8 +94,13 @@ def features(s):
     import numpy as np
 
     v = {c: np.asarray(s[c], np.float64) for c in STATS}
-    words = np.maximum(v["n_words"], 1)
-    return np.stack([v["word_chars"] / words, v["n_symbols"] / words], 1)
+    words, lines, chars = (np.maximum(v[c], 1) for c in ("n_words", "n_lines", "word_chars"))
+    return np.stack(
+        [
+            v["word_chars"] / words, v["n_symbols"] / words, v["n_upper"] / chars, np.log(np.maximum(v["n_distinct"], 1)) / np.log(np.maximum(words, 2)),
+            v["n_dup_lines"] / lines, v["n_repeat_words"] / words, np.log(words), np.log(words / lines),
+        ], 1,
+    )
 
 
 def average_path(n: int) -> float:
@@ -149,24 +157,59 @@ def anomaly(forest: list[tuple], x, subsample: int = SUBSAMPLE):
     return 2.0 ** (-total / len(forest) / max(average_path(subsample), 1e-9))
 
 
+def _all(conditions):
+    return functools.reduce(lambda a, b: a & b, conditions)
+
+
+def best_bin(good, bad, most: float, all_good: float | None = None, all_bad: float | None = None) -> int:
+    """The bin from which on rows are rejected: of those that reject at most the share ``most`` of
+    the good rows, the one with the largest share of bad rows less share of good rows rejected
+    (the highest on ties); past the last bin where that is under MIN_GAIN. Shares are of the
+    rows in the bins, or of as many as given."""
+    import numpy as np
+
+    if not good.sum() or not bad.sum():
+        return len(good)
+    lost, caught = good[::-1].cumsum()[::-1] / (all_good or good.sum()), bad[::-1].cumsum()[::-1] / (all_bad or bad.sum())
+    gain = np.where(lost <= most, caught - lost, -1.0)
+    return len(gain) - 1 - int(np.argmax(gain[::-1])) if gain.max() >= MIN_GAIN else len(good)
+
+
+def _sample(rows: DataFrame, n: int, most: int):
+    """At most ``most`` of ``n`` rows, those of the smallest ``_h``: a bound on the hash lets few
+    more through, so that what tasks and the driver sort does not grow with the table."""
+    share = 1.25 * most / max(n, 1) + 1e-9
+    while True:
+        share = min(1.0, share)
+        near = rows if share == 1.0 else rows.where(F.col("_h") < int((2 * share - 1) * (2**63 - 1)))
+        found = near.orderBy(*rows.columns).limit(most).toPandas()
+        if share == 1.0 or len(found) == most:
+            return found
+        share *= 4
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", trees: int = TREES, subsample: int = SUBSAMPLE, max_false_rejects: float = MAX_FALSE_REJECTS) -> DataFrame:
-    """Every row's ``id_col``, STATS, ``score``, ``base_failed`` and ``kept``.
+    """Every row's ``id_col``, STATS, ``base_failed``, ``score`` and ``kept``.
 
     ``base_failed``: fewer than 20 words, or more than 30 % of the words inside 8-word windows
-    found twice or more. Of the others, a row is kept if its anomaly score is below the
-    threshold. The forest is fitted on at most ``trees * subsample`` rows, those of the
+    found twice or more. The others pass an isolation forest for each of FAMILIES, over rates
+    and logarithms of all statistics. Forests are fitted on at most SAMPLE rows, those of the
     smallest hash of id and statistics among the rows that pass the base rules; isolation
-    trees need no more. The threshold is the one that separates labelled rows (1 good, 0 bad)
-    best - the largest share of bad rejected minus share of good rejected, over a histogram of
-    all labelled rows that pass the base rules - among those rejecting at most
-    ``max_false_rejects`` of the good ones. Without labelled rows nothing more is rejected.
-
-    Null text has no words and fails; null ids are kept as they are and match no label;
-    repeated rows get the same result each; several labels of an id count each. Other columns
-    are not passed on; an empty table gives an empty one.
-
-    Plan: texts are read once, and their statistics written; the sample is a bounded top-k;
-    labels join by id (statistics only), and a histogram of ``BINS`` bins reaches the driver.
+    trees need no more. Thresholds come from histograms of all labelled rows (1 good, 0 bad) that
+    pass the base rules: the forest that separates them best (see ``best_bin``) gets one, then
+    the best among the rows still kept, and so on, while all together reject at most
+    ``max_false_rejects`` of the good ones. A forest that does not tell good from bad rejects
+    nothing, nor does any without labelled rows. ``score`` is the largest
+    anomaly score as a share of its threshold; a row that passed the base rules is kept if it is under 1.
+
+    Null text has no words and fails; texts of any length are judged whole; null ids are kept as
+    they are and match no label; repeated rows, and rows with equal statistics, get the same
+    result each; several labels of an id count each. Other columns are not passed on; an empty
+    table gives an empty one.
+
+    Plan: texts are read once, and their statistics written; scores are written once and read
+    for histograms and verdict. Labels join by id (bins of scores only). The driver gets the sample and,
+    at most six times, histograms of ``BINS`` bins, whatever the size of the table.
     """
     import numpy as np
 
@@ -174,31 +217,45 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stats = written(statistics(docs, id_col, text_col))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     passing = stats.where(~failed)
-    sample = passing.select(*STATS, F.xxhash64(id_col, *STATS).alias("_h")).orderBy("_h", *STATS).limit(trees * subsample).drop("_h").toPandas()
-    forest = grow(features(sample), trees, subsample) if len(sample) else []
-    shared = spark.sparkContext.broadcast(forest)
-    size = min(subsample, len(sample))
-    scored_schema = T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())])
+    rows = _sample(passing.select(F.xxhash64(id_col, *STATS).alias("_h"), *STATS), passing.count(), SAMPLE)
+    x = features(rows)
+    columns = {f: [FEATURES.index(c) for c in names] for f, names in FAMILIES.items()}
+    forests = {f: grow(x[:, at], trees, subsample, 11 + i) if len(x) else [] for i, (f, at) in enumerate(columns.items())}
+    shared, size = spark.sparkContext.broadcast(forests), min(subsample, len(x))
+    names = private(stats.columns, *FAMILIES)
+    schema = T.StructType([*stats.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
 
     def run(batches):
         for b in batches:
-            cols = {c: b.column(b.schema.get_field_index(c)).to_numpy() for c in STATS}
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly(shared.value, features(cols), size))], names=scored_schema.names)
+            x = features({c: b.column(b.schema.get_field_index(c)).to_numpy() for c in STATS})
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(anomaly(shared.value[f], x[:, at], size)) for f, at in columns.items())], names=schema.names)
 
-    scored = stats.mapInArrow(run, scored_schema)
+    scored = written(stats.mapInArrow(lean(run), schema))
+    shared.unpersist()
+    release(stats)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    histogram = (
-        passing.mapInArrow(run, scored_schema).join(known, F.col(id_col) == F.col("_id"))
-        .groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("n")).collect()
-    )
-    good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
-    for r in histogram:
-        good[r["bin"]] += r["good"]
-        bad[r["bin"]] += r["n"] - r["good"]
-    threshold = 2.0
-    if good.sum() and bad.sum():
-        lost, caught = good[::-1].cumsum()[::-1] / good.sum(), bad[::-1].cumsum()[::-1] / bad.sum()
-        gain = np.where(lost <= max_false_rejects, caught - lost, -1.0)
-        if gain.max() > 0:
-            threshold = float(len(gain) - 1 - np.argmax(gain[::-1])) / BINS
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") < threshold))
+    bins = written(scored.where(~failed).join(known, F.col(id_col) == F.col("_id")).select("_label", *(F.floor(F.col(c) * BINS).cast("int").alias(c) for c in names)))
+    cuts, budget = dict.fromkeys(names, BINS + 1), max_false_rejects
+    all_good = None
+    while True:  # at most once for each forest: the best one among the rows still kept
+        still = bins.where(_all(F.col(c) < k for c, k in cuts.items()))
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).alias("bin")) for i, c in enumerate(names))))
+        good, bad = np.zeros((len(names), BINS + 1)), np.zeros((len(names), BINS + 1))
+        for r in still.select("_label", each.alias("_e")).groupBy("_e.f", "_e.bin").agg(F.sum("_label").alias("good"), F.count("*").alias("n")).collect():
+            good[r["f"], r["bin"]] += r["good"]
+            bad[r["f"], r["bin"]] += r["n"] - r["good"]
+        if all_good is None:
+            all_good, all_bad = max(1.0, good[0].sum()), max(1.0, bad[0].sum())
+        best = None
+        for i, c in enumerate(names):
+            k = best_bin(good[i], bad[i], budget, all_good, all_bad) if cuts[c] > BINS else BINS + 1
+            if k <= BINS and (best is None or bad[i][k:].sum() / all_bad - good[i][k:].sum() / all_good > best[0]):
+                best = bad[i][k:].sum() / all_bad - good[i][k:].sum() / all_good, c, k, good[i][k:].sum() / all_good
+        if best is None:
+            break
+        cuts[best[1]] = best[2]
+        budget -= best[3]
+    release(bins)
+    thresholds = [cuts[c] / BINS for c in names]
+    score = F.greatest(*(F.col(c) / F.lit(t) for c, t in zip(names, thresholds, strict=True)))
+    return scored.withColumn("score", score).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") < 1)).drop(*names)

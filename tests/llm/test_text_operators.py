@@ -66,6 +66,60 @@ def test_isolation_paths():
     assert np.isfinite(quality.anomaly(quality.grow(same), same, 10)).all()
 
 
+def path_length(tree, row):
+    """Steps to the row's leaf and the mean path of what the leaf holds, a node at a time."""
+    f, cut, child, path = tree
+    at = 0
+    while child[at] >= 0:
+        at = child[at] + (row[f[at]] >= cut[at])
+    return path[at]
+
+
+def test_forest_equals_brute_force():
+    import math
+
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(300, 2))
+    forest = quality.grow(x, 20, 64)
+    mean = [sum(path_length(t, r) for t in forest) / 20 for r in x]
+    c = 2 * (sum(1 / k for k in range(1, 64))) - 2 * 63 / 64  # by harmonic numbers
+    assert np.allclose(quality.anomaly(forest, x, 64), [2 ** (-m / c) for m in mean], atol=2e-3)
+    for f, cut, child, path in forest:  # a leaf's path is its depth and the mean of what it holds
+        depth, held = {0: 0}, {0: 64}
+        for at in range(len(f)):
+            if child[at] >= 0:
+                depth[child[at]] = depth[child[at] + 1] = depth[at] + 1
+            else:
+                assert path[at] >= depth[at] and (depth[at] == math.ceil(math.log2(64)) or path[at] == depth[at])
+
+
+def test_thresholds_are_the_best():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for most in (0.0, 0.01, 0.2, 1.0):
+        good, bad = rng.integers(0, 9, 40).astype(float), rng.integers(0, 3, 40).astype(float) * (np.arange(40) > 20)
+        gains = {k: bad[k:].sum() / bad.sum() - good[k:].sum() / good.sum() for k in range(40) if good[k:].sum() / good.sum() <= most}
+        best = max(gains.values(), default=-1)
+        want = max(k for k, g in gains.items() if g == best) if best >= quality.MIN_GAIN else 40
+        assert quality.best_bin(good, bad, most) == want
+    assert quality.best_bin(np.ones(5), np.zeros(5), 1.0) == 5
+
+
+def test_quality_samples_without_sorting_all(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("xxhash64(id) AS _h", "id")
+    want = [r["id"] for r in df.orderBy("_h").limit(100).collect()]
+    assert quality._sample(df, 5000, 100)["id"].tolist() == want
+    assert quality._sample(df, 50_000_000, 100)["id"].tolist() == want  # far too small a share is widened
+    assert len(quality._sample(df.limit(0), 0, 100)) == 0
+
+
+def test_quality_of_a_text_of_a_million_words():
+    t = " ".join(f"w{i}" for i in range(1_000_000)) + " a b c d e f g h a b c d e f g h"
+    assert quality.text_stats(t)[0] == 1_000_016 and quality.text_stats(t)[4] == 16
+
+
 # --- byte-level BPE
 
 
