@@ -9,6 +9,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Actions and phases of a client, as its events name them.
+CONNECT, LIST_DATABASES, USE_DATABASE, LIST_TABLES = "connect", "retrieveAllDatabase", "useDatabase", "getTablesFromDatabase"
+PENDING, FULFILLED, REJECTED = "pending", "fulfilled", "rejected"
+
 NOT_SELECTED, SELECTED, SELECTED_AND_CURRENT = 0, 1, 2
 STATE_NAMES = {NOT_SELECTED: "NOT_SELECTED", SELECTED: "SELECTED", SELECTED_AND_CURRENT: "SELECTED_AND_CURRENT"}
 
@@ -64,15 +68,15 @@ def last_action_state(actions: DataFrame, key: str | None = None) -> DataFrame:
     the effect of the last event that touches it."""
     a, p = F.col("action"), F.col("phase")
     last = lambda value, when: F.max_by(value, F.when(when, F.col("seq")))
-    pending = lambda when: F.coalesce(last(p, when) == "pending", F.lit(False))
-    use, tables, done = a == "useDatabase", a == "getTablesFromDatabase", p == "fulfilled"
+    pending = lambda when: F.coalesce(last(p, when) == PENDING, F.lit(False))
+    use, tables, done = a == USE_DATABASE, a == LIST_TABLES, p == FULFILLED
     group = actions.groupBy(*([key] if key else []))
     return group.agg(
-        last(F.col("payload"), (a == "retrieveAllDatabase") & done).alias("databases"),
+        last(F.col("payload"), (a == LIST_DATABASES) & done).alias("databases"),
         last(F.col("name"), use & done).alias("currentDatabase"),
-        last(F.when(p == "pending", "[]").otherwise(F.col("payload")), (use & done) | (tables & p.isin("pending", "fulfilled"))).alias("tables"),
-        pending(a == "connect").alias("loadingDatabaseConnection"),
-        pending(a == "retrieveAllDatabase").alias("loadingDatabases"),
+        last(F.when(p == PENDING, "[]").otherwise(F.col("payload")), (use & done) | (tables & p.isin(PENDING, FULFILLED))).alias("tables"),
+        pending(a == CONNECT).alias("loadingDatabaseConnection"),
+        pending(a == LIST_DATABASES).alias("loadingDatabases"),
         pending(use | tables).alias("loadingSingleDatabase"),
     )
 

@@ -23,7 +23,7 @@ STATEMENTS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "left_join": ("SELECT c_custkey, count(o_orderkey) AS n_orders FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey", []),
     "full_join": ("SELECT coalesce(c_custkey, -1) AS c_custkey, coalesce(s_suppkey, -1) AS s_suppkey FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey", []),
     "semi_join": ("SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 100000)", []),
-    "anti_join": ("SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", []),
+    "anti_join": ("SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 250000)", []),
     "theta_join": ("SELECT r_name, n_name FROM {region} JOIN {nation} ON n_regionkey < r_regionkey", []),
     "cross_join": ("SELECT a.r_name AS r1, b.r_name AS r2 FROM {region} a CROSS JOIN {region} b", []),
     "group_having": ("SELECT l_suppkey, count(*) AS n, " + REVENUE + " AS revenue FROM {lineitem} GROUP BY l_suppkey HAVING count(*) > 5", []),
@@ -39,7 +39,7 @@ STATEMENTS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "union": ("SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}", []),
     "union_all": ("SELECT r_name AS name FROM {region} UNION ALL SELECT n_name FROM {nation}", []),
     "intersect": ("SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", []),
-    "except": ("SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem}", []),
+    "except": ("SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45", []),
     "cte": ("WITH big AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT n, count(*) AS customers FROM big GROUP BY n", []),
     "recursive_cte": ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 10) SELECT n FROM t", []),
     "scalar_subquery": ("SELECT c_custkey FROM {customer} WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {customer})", []),

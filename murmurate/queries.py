@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import classify_line, default_value, envelope, is_ready, line_port, nth_word, severity_colour, status_message, status_title, strip_prefix, text_after_last
+from .functions import classify_line, default_value, envelope, error_envelope, is_ready, line_port, nth_word, severity_colour, status_message, status_title, strip_prefix, text_after_last
 from .operators import catalog, folds, records, serverinfo, sql
 from .plans import delegated
-from .sources import register_database
+from .session import Engine, NotConnectedError
+from .sources import parse_env, register_database
+from .streaming import classify_logs, log_stream, write_logs
 
 DATABASE = "lake"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,7 +35,8 @@ def list_tables(spark, sf_dir):
 
 
 def list_databases(spark, sf_dir):
-    return catalog.list_databases(spark).where(F.col("Database") == _lake(spark, sf_dir))
+    database = _lake(spark, sf_dir)  # before the listing, which is made at once
+    return catalog.list_databases(spark).where(F.col("Database") == database)
 
 
 def use_database(spark, sf_dir):
@@ -55,6 +60,63 @@ def server_info(spark, sf_dir):
     return serverinfo.server_information(spark)
 
 
+def server_fields(spark, sf_dir):
+    """What of the server's information is the same wherever it runs."""
+    server, software = F.col("ServerInformation"), F.col("SoftwareInformation")
+    return serverinfo.server_information(spark).select(
+        server["character_set_server"].alias("character_set"), server["default_storage_engine"].alias("engine"), (F.length(server["user"]) > 0).alias("has_user"), F.contains(server["ip"], F.lit("@")).alias("ip_has_at"),
+        (server["ip"] == spark.sparkContext.getConf().get("spark.driver.host")).alias("ip_is_host"), (server["port"] >= 0).alias("has_port"), (software["sparkVersion"] == spark.version).alias("version"),
+    )
+
+
+def connection(spark, sf_dir):
+    """Connect, list, use, query and disconnect, one row for each step."""
+    name, before, steps = "lake_connection", spark.catalog.currentDatabase(), []
+    try:
+        engine = Engine(spark).connect(sf_dir, name)
+        steps.append(("connected", str(engine.connected).lower()))
+        steps.append(("current", engine.current_database()))
+        steps.append(("tables", str(engine.tables().where(F.col("table_name").isin(TABLES)).count())))
+        steps.append(("used", engine.use(name).first()["DBName"]))
+        steps.append(("regions", str(engine.query("SELECT count(*) FROM region WHERE r_regionkey < ?", [3]).first()[0])))
+        steps.append(("healthy", str(engine.health()).lower()))
+        engine.disconnect()
+        steps.append(("after", str(engine.connected).lower()))
+        try:
+            engine.tables()
+        except NotConnectedError:
+            steps.append(("refused", "true"))
+        steps.append(("gone", str(not spark.catalog.databaseExists(name)).lower()))
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+    return spark.createDataFrame(steps, "step string, result string")
+
+
+def quoted_literal(spark, sf_dir):
+    return sql.run_query(spark, f'SELECT n_nationkey, concat("?", n_name, "\'") AS marked FROM {_lake(spark, sf_dir)}.nation WHERE n_name <> "?" AND n_nationkey < ?', [7])
+
+
+def error_envelopes(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", error_envelope(F.lit("Not connected"), F.col("n_name")).alias("body"))
+
+
+def env_pairs(spark, sf_dir):
+    """Pairs of a small file that is made of the regions: a comment, a line of one pair, one of two, one without."""
+    lines = []
+    for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        lines += [f"# REGION={r['r_name']}", f"R{r['r_regionkey']}={r['r_name'].replace(' ', '')}", f"A{r['r_regionkey']}=x=y B{r['r_regionkey']}=", "no pair"]
+    return parse_env(spark, "\n".join(lines))
+
+
+def log_replay(spark, sf_dir):
+    """The log lines by way of a stream that reads all there is and ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="murmurate-logs-")
+    name = f"log_replay_{uuid.uuid4().hex}"
+    _log_lines(spark, sf_dir).select("value").write.text(f"{shared}/{name}")
+    write_logs(classify_logs(log_stream(spark, f"{shared}/{name}")), f"{shared}/{name}-checkpoint", name=name, available_now=True).awaitTermination()
+    return spark.table(name).groupBy("class").agg(F.count("*").alias("n"))
+
+
 def param_query(spark, sf_dir):
     text = f"SELECT o_orderkey, o_totalprice FROM {_lake(spark, sf_dir)}.orders WHERE o_orderpriority = ? AND o_totalprice > ?"
     return sql.run_query(spark, text, ["1-URGENT", 50000.0])
@@ -101,8 +163,8 @@ def envelope_json(spark, sf_dir):
 
 
 def decode_json(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    return events.select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+    bodies = _table(spark, sf_dir, "events").select(F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "props": '), F.col("props"), F.lit("}")).alias("body"))
+    return records.decode_json(bodies, "body", "id BIGINT, props STRUCT<k: INT>").select(F.col("id").alias("event_id"), "props.k")
 
 
 def ready_replies(spark, sf_dir):
@@ -181,14 +243,14 @@ def clamped_sum(spark, sf_dir):
 def last_action_state(spark, sf_dir):
     n = F.col("event_id")
     pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by + 1).cast("int"))
-    actions = _table(spark, sf_dir, "events").select(n.alias("seq"), "user_id", pick(["connect", "retrieveAllDatabase", "useDatabase", "getTablesFromDatabase"], (n * 7 + F.col("user_id")) % 4).alias("action"), pick(["pending", "fulfilled", "rejected"], (n * 5 + F.col("user_id")) % 3).alias("phase"), F.col("props").alias("payload"), F.concat(F.lit("db"), n).alias("name"))
+    actions = _table(spark, sf_dir, "events").select(n.alias("seq"), "user_id", pick([folds.CONNECT, folds.LIST_DATABASES, folds.USE_DATABASE, folds.LIST_TABLES], (n * 7 + F.col("user_id")) % 4).alias("action"), pick([folds.PENDING, folds.FULFILLED, folds.REJECTED], (n * 5 + F.col("user_id")) % 3).alias("phase"), F.col("props").alias("payload"), F.concat(F.lit("db"), n).alias("name"))
     return folds.last_action_state(actions, "user_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        list_tables, list_databases, use_database, current_database, server_info, param_query, multi_query, scalar_subqueries, substring_index, nth_words, default_values,
+        list_tables, list_databases, use_database, current_database, server_info, server_fields, connection, quoted_literal, error_envelopes, env_pairs, log_replay, param_query, multi_query, scalar_subqueries, substring_index, nth_words, default_values,
         status_messages, severity_colours, envelope_json, decode_json, ready_replies, column_list, nested_record, first_match, update_where, append_rows, view_nodes, count_matching,
         characters, log_classify, log_ports, selection_state, click_pairs, clamped_sum, last_action_state,
     )
@@ -220,6 +282,12 @@ ORACLES: dict[str, str] = {
     "list_databases": f"SELECT '{DATABASE}' AS \"Database\"",
     "use_database": f"SELECT '{DATABASE}' AS \"DBName\", string_agg(table_name, ',' ORDER BY table_name) AS \"DBTable\" FROM information_schema.tables WHERE table_schema = 'main' AND table_name IN ({_IN})",
     "current_database": f"SELECT '{DATABASE}' AS current_database",
+    "server_fields": "SELECT 'UTF-8' AS character_set, 'parquet' AS engine, true AS has_user, false AS ip_has_at, true AS ip_is_host, true AS has_port, true AS version",
+    "connection": f"SELECT * FROM (VALUES ('connected', 'true'), ('current', 'lake_connection'), ('tables', (SELECT CAST(count(*) AS VARCHAR) FROM information_schema.tables WHERE table_schema = 'main' AND table_name IN ({_IN}))), ('used', 'lake_connection'), ('regions', (SELECT CAST(count(*) AS VARCHAR) FROM region WHERE r_regionkey < 3)), ('healthy', 'true'), ('after', 'false'), ('refused', 'true'), ('gone', 'true')) AS t(step, result)",
+    "quoted_literal": "SELECT n_nationkey, '?' || n_name || chr(39) AS marked FROM nation WHERE n_name <> '?' AND n_nationkey < 7",
+    "error_envelopes": "SELECT n_nationkey, CAST(json_object('message', 'Not connected', 'error', n_name) AS VARCHAR) AS body FROM nation",
+    "env_pairs": "SELECT 'R' || r_regionkey AS key, replace(r_name, ' ', '') AS value FROM region UNION ALL SELECT 'A' || r_regionkey, 'x=y' FROM region UNION ALL SELECT 'B' || r_regionkey, '' FROM region",
+    "log_replay": f"WITH l AS ({_LINES}), c AS ({_CLASSES}) SELECT class, count(*) AS n FROM c WHERE class <> 'port' GROUP BY class",
     "param_query": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 50000.0",
     "multi_query": "SELECT 0 AS position, count(*) AS n FROM region UNION ALL SELECT 1, count(*) FROM nation UNION ALL SELECT 2, count(*) FROM orders",
     "scalar_subqueries": "SELECT (SELECT count(*) FROM customer) AS customers, (SELECT max(o_orderkey) FROM orders) AS last_order, (SELECT min(n_name) FROM nation) AS first_nation",

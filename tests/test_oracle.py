@@ -39,3 +39,14 @@ def test_query(spark, duck, name):
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, found) == rows(columns, want.fetchall())
+
+
+def test_databases_are_listed_in_a_new_session(spark):
+    """The listing must not depend on what an earlier query has registered."""
+    spark.sql(f"DROP DATABASE IF EXISTS {queries.DATABASE} CASCADE")
+    assert [r[0] for r in queries.list_databases(spark, ORACLE).collect()] == [queries.DATABASE]
+
+
+@pytest.mark.parametrize("name", ["delegated_anti_join", "delegated_except"])
+def test_something_is_left(spark, name):
+    assert queries.QUERIES[name](spark, ORACLE).count() > 0
