@@ -3,12 +3,10 @@ shingle containment verifies them. DataFrame functions only."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower
+from .common import WORD, ascii_lower, written
 
 SHINGLE = 5
 #: Windows of text hold this many shingles; templates that a text without a window can match
@@ -16,13 +14,15 @@ SHINGLE = 5
 #: of a single one, in every text. Windows start every STRIDE shingles in texts, everywhere in
 #: templates, so that a verbatim window always has its equal among the template's.
 WIDE, STRIDE = 8, 4
-#: Bands of one row each: a text window of Jaccard similarity j to a template window is
-#: retrieved with probability 1 - (1 - j) ** BANDS, 0.996 at one half; and a match is missed
-#: only if all its windows are.
-BANDS = 8
+#: Bands of one row each, every one with a hash function of its own: a text window of Jaccard
+#: similarity j to a template window is retrieved with probability 1 - (1 - j) ** BANDS. Where a
+#: text holds 3/4 of a template, some window of it holds 6 of 8 shingles, and a window of text at
+#: most two places off holds 4 of the same 8 (j = 1/3: 0.9985), mostly more (6: 0.9999996); and a
+#: match is missed only if all its windows are.
+BANDS = 16
 CONTAINMENT = 0.75
-#: Band keys of all templates together become a literal set in the plan; more are refused.
-MAX_KEYS = 100_000
+#: Up to this many keys of all templates are a literal set in the plan; more are joined.
+LITERAL_KEYS = 100_000
 
 #: Well-known public licence notices.
 TEMPLATES = {
@@ -35,6 +35,38 @@ TEMPLATES = {
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 
 
@@ -53,16 +85,13 @@ def _shingle_texts(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) >= SHINGLE, full).otherwise(F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))))
 
 
-_MASKS = [random.Random(5 + b).getrandbits(63) for b in range(BANDS)]
-
-
 def _permuted(hashes: Column) -> list[Column]:
-    """The hashes as each band orders them: exclusive or with the band's mask."""
+    """The hashes as each band orders them: hashed again with the band's number."""
 
-    def by(mask: int) -> Column:
-        return F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask)))
+    def by(band: int) -> Column:
+        return F.transform(hashes, lambda x: F.xxhash64(F.lit(band), x))
 
-    return [by(mask).alias(f"_p{b}") for b, mask in enumerate(_MASKS)]
+    return [by(b).alias(f"_p{b}") for b in range(BANDS)]
 
 
 def _wide_keys(stride: int) -> Column:
@@ -86,37 +115,47 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     give one row for each template; templates without a word are left out; other columns are
     not passed on.
 
-    Plan: band keys are looked up inside each row, in a literal set, so that texts without a
-    key go no further and no text is shuffled but those with a candidate, once, to verify each
-    candidate once. Templates are a parameter of bounded size.
+    Whole texts of any length are scanned; a match at several places, or by several windows, is one.
+
+    Plan: a text goes on only if one of its shingles is a template's, which loses nothing and
+    which few texts pass; of those, band keys are looked up inside each row. Both look-ups are in
+    literal sets; with more than LITERAL_KEYS keys they are joins, whose sides AQE chooses by size.
+    No text is shuffled but those with a candidate, once, to verify each candidate once.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "license string, _template string")
     t = given.withColumn("_w", _words(F.col("_template"))).withColumn("_h", _shingle_hashes(F.col("_w"))).withColumn("_need", _shingle_texts(F.col("_w")))
-    t = t.withColumn("_wide", (F.size("_h") >= WIDE) & (F.size("_need") * F.lit(float(containment)) > WIDE - 1))
-    t = t.select("*", *_permuted(F.col("_h"))).withColumn("_keys", F.when(F.col("_wide"), _wide_keys(1)).otherwise(F.array_distinct("_h")))
-    rows = t.where(F.size("_w") > 0).select("license", "_keys", "_need", "_wide").collect()
-    n_keys = sum(len(r["_keys"]) for r in rows)
-    if n_keys > MAX_KEYS:
-        raise ValueError(f"the templates have {n_keys} band keys; the most is {MAX_KEYS}")
-    wide, single = ({k for r in rows if r["_wide"] == w for k in r["_keys"]} for w in (True, False))
-    bands = spark.createDataFrame([(k, r["license"]) for r in rows for k in r["_keys"]] or [], "_key long, license string")
-    needs = spark.createDataFrame([(r["license"], r["_need"]) for r in rows] or [], "license string, _need array<string>")
+    t = t.withColumn("_wide", (F.size("_h") >= WIDE) & (F.size("_need") * F.lit(float(containment)) > WIDE - 1)).where(F.size("_w") > 0)
+    t = written(t.select("license", "_need", "_wide", "_h", *_permuted(F.col("_h"))).select("license", "_need", "_wide", "_h", F.when(F.col("_wide"), _wide_keys(1)).otherwise(F.array_distinct("_h")).alias("_keys")))
+    bands, needs = t.select(F.explode("_keys").alias("_key"), "license"), t.select("license", "_need")
+    n_keys = t.agg(F.coalesce(F.sum(F.size("_keys") + F.size("_h")), F.lit(0))).first()[0]
 
     # Each array has a projection of its own and is used there more than once, so that none is
     # computed anew inside a lambda; explode_outer lets no filter on them be pushed below.
-    split = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _words(F.col(text_col)).alias("_w"))
-    hashed = split.select("_id", "_text", _shingle_hashes(F.col("_w")).alias("_h"))
-    hit = lambda keys, known: F.filter(keys, lambda x: x.isin(*known)) if known else F.array().cast("array<long>")
-    hashed = hashed.select("*", *_permuted(F.col("_h")))
-    hits = F.array_distinct(F.concat(hit(F.col("_h"), single), hit(_wide_keys(STRIDE), wide)))
-    candidates = (
-        hashed.select("_id", "_text", F.explode_outer(hits).alias("_key")).where("_key IS NOT NULL").join(F.broadcast(bands), "_key")
-        .groupBy("_id", F.xxhash64("_text").alias("_t"), "license").agg(F.first("_text").alias("_text"))
-    )
+    hashed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _words(F.col(text_col)).alias("_w")).select("_id", "_text", _shingle_hashes(F.col("_w")).alias("_h"))
+    if n_keys <= LITERAL_KEYS:
+        rows = t.select("_keys", "_wide", "_h").collect()
+        wide, single = (sorted({k for r in rows if r["_wide"] == w for k in r["_keys"]}) for w in (True, False))
+        every = sorted({k for r in rows for k in r["_h"]})
+        some = lambda known: ", ".join(f"{k}L" for k in known) or "NULL"  # noqa: E731  as text, which is far faster than a column for each
+        among = lambda keys, known: F.expr(f"filter({keys}, x -> x IN ({some(known)}))")
+        hashed = hashed.select("_id", "_text", F.when(F.expr(f"exists(_h, x -> x IN ({some(every)}))"), F.col("_h")).alias("_h"))
+        hashed = hashed.select("_id", "_text", F.explode_outer(F.array("_h")).alias("_h")).where("_h IS NOT NULL").select("*", *_permuted(F.col("_h")))
+        hashed = hashed.select("_id", "_text", "_h", _wide_keys(STRIDE).alias("_k"))
+        hits = F.array_distinct(F.concat(among("_h", single), among("_k", wide)))
+        candidates = hashed.select("_id", "_text", F.explode_outer(hits).alias("_key")).where("_key IS NOT NULL").join(F.broadcast(bands), "_key")
+    else:
+        every = t.select(F.explode("_h").alias("_x")).distinct()
+        rows = hashed.select("_id", F.xxhash64("_text").alias("_t"), F.explode(F.array_distinct("_h")).alias("_x")).join(every, "_x", "left_semi").select("_id", "_t").distinct()
+        own = hashed.withColumn("_t", F.xxhash64("_text"))
+        near = own.join(rows.withColumnRenamed("_id", "_id2").withColumnRenamed("_t", "_t2"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")), "left_semi").drop("_t")
+        near = near.select("*", *_permuted(F.col("_h")))
+        keys = near.select("_id", "_text", F.explode(F.array_distinct(F.concat("_h", _wide_keys(STRIDE)))).alias("_key"))
+        candidates = keys.join(bands, "_key")
+    candidates = candidates.groupBy("_id", F.xxhash64("_text").alias("_t"), "license").agg(F.first("_text").alias("_text"))
     texts = candidates.select("_id", "license", _words(F.col("_text")).alias("_w")).select("_id", "license", _shingle_texts(F.col("_w")).alias("_have"))
     return (
-        texts.join(F.broadcast(needs), "license")
+        texts.join(F.broadcast(needs) if n_keys <= LITERAL_KEYS else needs, "license")
         .select(F.col("_id").alias(id_col), "license", F.size("_need").alias("n_shingles"), F.size(F.array_intersect("_need", "_have")).alias("n_matched"))
         .where(F.col("n_matched") >= F.lit(containment) * F.col("n_shingles"))
     )
