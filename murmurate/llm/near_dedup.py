@@ -375,3 +375,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     clean = tagged.where(~F.col(_bits)).select(*docs.columns)
     doubtful = tagged.where(_bits).join(marked.select(F.col("id").alias(_id), F.col("kept").alias(_kept)), _id, "left").where(F.coalesce(F.col(_kept), F.lit(True)))
     return clean.union(doubtful.withColumn(_text, F.xxhash64(text_col)).dropDuplicates([_id, _text]).select(*docs.columns))
+
+
+#: The contract of ``link`` for DuckDB, by comparing all texts that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, coalesce(len(s), 0) AS n FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, b FROM r JOIN both_ways ON r.to_id = a),
+k AS (SELECT id, min(to_id) AS component_id FROM r GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN k ON k.id = doc_id
+"""

@@ -79,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_near_dedup": near_dedup.ORACLE,
     "op6_licenses": licenses.oracle(),
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_embeddings": embeddings.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
 }

@@ -483,3 +483,22 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     schema = to_arrow_schema(result)
     return blocks.select("block", "sizes", "body", "carried").groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(lean(_removed(schema)), result)
+
+
+#: The contract of ``dedup_substrings`` for DuckDB, by grouping all strings of 50 bytes, with the rest as a digest.
+ORACLE = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, h, len(h) // 2 AS n FROM h),
+z AS (SELECT doc_id, n, c, substring(h, 1000 * c + 1, 1098) AS piece FROM (SELECT doc_id, h, n, unnest(range((n - 49 + 499) // 500)) AS c FROM g WHERE n >= 50)),
+o AS (SELECT doc_id, 500 * c + j AS i, substring(piece, 2 * j + 1, 100) AS s FROM (SELECT doc_id, c, piece, unnest(range(least(500, n - 49 - 500 * c))) AS j FROM z)),
+f AS (SELECT s, min(doc_id) AS first FROM o GROUP BY s HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT doc_id, i FROM o JOIN f USING (s) WHERE doc_id > first),
+q AS (SELECT doc_id, i, lag(i) OVER w AS before, lead(i) OVER w AS after FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT doc_id, i AS lo, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM q WHERE before IS NULL OR i > before + 50),
+v AS (SELECT doc_id, i + 50 AS hi, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM q WHERE after IS NULL OR after > i + 50),
+x AS (SELECT doc_id, k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY k), 0) AS since FROM u JOIN v USING (doc_id, k)),
+y AS (SELECT x.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substring(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY k) AS kept FROM x JOIN g ON g.doc_id = x.doc_id GROUP BY x.doc_id)
+SELECT g.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM g LEFT JOIN y ON y.doc_id = g.doc_id
+"""
