@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import inspect
 import os
 import tempfile
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: cuts at exactly these bytes, and ``bytes.lower()`` changes A-Z alone.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of the Arrow batches that Python workers get.
+BATCH_BYTES = 8 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -45,13 +49,27 @@ def _new_path(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES while a table is written: both sides of every Python
+    worker hold some at a time. (A longer row is a batch of its own.)"""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, compression: str = "lz4") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and what
     follows does not compute it again. Lost executors do not lose it. ``release`` deletes the
     files, the end of the session at the latest."""
     spark = df.sparkSession
     path = _new_path(spark)
-    df.write.option("compression", compression).parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,7 +78,8 @@ def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     The table's entry in the catalog is only needed to resolve it and does not stay."""
     spark = df.sparkSession
     name, path = f"murmurate_{uuid.uuid4().hex}", _new_path(spark)
-    df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, column).saveAsTable(name)
+    with _small_batches(spark):
+        df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, column).saveAsTable(name)
     found = spark.table(name).select("*")
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
     return found

@@ -469,9 +469,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     carry = [c for c in carry or [] if c != id_col]
     own = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col), *(F.col(c).alias(c) for c in carry))
     own = own.toDF(id_col, "\0text", *carry)
-    blocks = bucketed(_blocks(own, carry), "block", 2 * shuffle_tasks(docs.sparkSession))
+    tasks = shuffle_tasks(docs.sparkSession)
+    blocks = bucketed(_blocks(own, carry), "block", 2 * tasks)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    shards, indexes = max(8, math.ceil(total / 12 / FINGERPRINTS)), max(8, math.ceil(total / INDEX))
+    shards, indexes = max(8, math.ceil(total / 12 / FINGERPRINTS)), max(tasks, math.ceil(total / INDEX))
     prints = blocks.select("block", "sizes", "body").mapInArrow(_fingerprints(shards), "shard int, block long, hashes binary, several binary, many binary")
     shared = prints.groupBy("shard").applyInArrow(lean(_shared), "block long, shared binary, hot binary")
     renamed = shared.select(F.col("block").alias("to"), "shared", "hot")

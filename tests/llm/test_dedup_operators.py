@@ -301,3 +301,50 @@ def test_substrings_of_long_and_of_many_short_texts(spark):
     n = len(texts)
     assert got[0] == (len(long), 0) and got[1] == (1_000_000, 0) and got[n - 3] == (201, 200) and got[n - 2] == (200, 200) and got[n - 1] == (0, 0)
     assert all(got[i] == (5, 0) for i in range(2, n - 3))
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    """Folders of one machine only where everything runs on it."""
+    from types import SimpleNamespace
+
+    session = lambda master, shared=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: shared), sparkContext=SimpleNamespace(master=master, applicationId=master))
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.scratch_dir(session(master))
+        assert common.scratch_dir(session(master, "hdfs://b/c")) == "hdfs://b/c"
+    assert common.scratch_dir(session("local[4]")).startswith("file://")
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    df = common.written(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.exists(path)
+    common.release(df)
+    assert not os.path.exists(path)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)], [(1, " ")]])
+def test_long_texts_of_near_dedup(spark, rows):
+    """Texts of a million words, beside rows that have nothing to link."""
+    rng = random.Random(11)
+    long = words(rng, 1_000_000, 10**6)
+    texts = [(10, " ".join(long)), (11, " ".join(edit(rng, long, 1000))), (12, " ".join(words(rng, 1_000_000, 10**6))), *rows]
+    if rows:
+        texts = texts[:1] + rows
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.link(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[10] == (10, True) and (not rows) == (got.get(11) == (10, False)) and all(got[i] == (i, True) for i, _ in rows)
+
+
+def test_one_of_each_group_is_kept(spark):
+    rng = random.Random(12)
+    texts = grouped(rng)[:60]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(3, texts[3], "b"), (3, "another text of that id", "c"), (None, texts[0], "d"), (None, texts[0], "d"), (70, None, "e")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, extra string, _id int, _bits int, _kept int")
+    linked = near_dedup.link(df).collect()
+    gone = {r["doc_id"] for r in linked if not r["kept"]}
+    want = {(i, t) for i, t, _ in rows if i not in gone}
+    got = near_dedup.keep_one(df).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == want and len(got) == len(want) + 1  # two rows without an id
+    assert got[0].asDict().keys() == {"doc_id", "text", "extra", "_id", "_bits", "_kept"} and all((r["_id"], r["_bits"], r["_kept"]) == (1, 2, 3) for r in got)
