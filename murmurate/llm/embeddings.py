@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, written
+from .common import components, lean, release, written
 
 #: The quantisers are fitted on at most SAMPLE rows, those of the smallest hash.
 SAMPLE = 16_384
@@ -24,8 +24,9 @@ BLOCK = 2048
 def _nearest(x, c):
     import numpy as np
 
-    d = (c * c).sum(1) - 2.0 * (x @ c.T)
-    return np.argmin(d, 1)
+    norms = (c * c).sum(1)
+    parts = [np.argmin(norms - 2.0 * (x[lo : lo + 1024] @ c.T), 1) for lo in range(0, len(x), 1024)]
+    return np.concatenate([np.empty(0, np.int64), *parts])
 
 
 def kmeans(x, k: int, rounds: int = 12, seed: int = 3):
@@ -119,7 +120,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     is the row's own. Rows with a null label, id or vector, a null or non-finite component, or
     a vector of zeros link with nothing; equal vectors of one label link whatever the count;
     shorter vectors count as filled up with zeros. Other columns are not passed on; an empty
-    table gives an empty one.
+    table gives an empty one. Vectors of any length are compared whole.
 
     Equal vectors of a label become one class first, by a partial aggregation. Classes are
     indexed (all of them; quantisers fitted on SAMPLE): list by the nearest coarse centroid,
@@ -136,7 +137,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     rows = vectors.select(F.col(id_col).alias("_id"), F.when(F.coalesce(good, F.lit(False)), v).alias("_v"), F.col(label_col).alias("_label"))
     classes = written(rows.where("_v IS NOT NULL").groupBy("_label", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("mult")))
     n, dim = classes.agg(F.count("*"), F.max(F.size("_v"))).first()
-    found = written(_linked(spark, classes, n, dim, threshold)) if n else None
+    found = _linked(spark, classes, n, dim, threshold) if n else None
     if found is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -186,7 +187,7 @@ def _linked(spark, classes: DataFrame, n: int, dim: int, threshold: float) -> Da
                     names=schema.names,
                 )
 
-    indexed = written(classes.select("_label", "_v", F.col("rep").cast("long"), "mult").mapInArrow(assign, schema))
+    indexed = written(classes.select("_label", "_v", F.col("rep").cast("long"), "mult").mapInArrow(lean(assign), schema))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     sizes = indexed.groupBy("label", "list").agg(F.count("*").alias("_s"))
     asks = indexed.select("label", "rep", "vec", F.explode("probes").alias("list"))
@@ -224,7 +225,10 @@ def _linked(spark, classes: DataFrame, n: int, dim: int, threshold: float) -> Da
 
     keys = ["label", "list", "sb", "qb"]
     queries = queries.toDF(*(f"q_{c}" for c in queries.columns))
-    return stored.groupBy(*keys).cogroup(queries.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(compare, "rep long, links long, tree long")
+    found = written(stored.groupBy(*keys).cogroup(queries.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(compare, "rep long, links long, tree long"))
+    index.unpersist()
+    release(indexed, plan)
+    return found
 
 
 #: The contract of ``link`` for DuckDB, by comparing all rows of a label.
