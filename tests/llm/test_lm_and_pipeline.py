@@ -202,6 +202,29 @@ def test_pipeline(spark, tmp_path):
     assert list(by) == ["language", "lines", "near_duplicates", "substrings", "packing"]
 
 
+def test_stages_take_long_texts_and_other_columns(spark, tmp_path):
+    """A text of some hundred thousand lines in every stage, and columns with the names stages use."""
+    rng = random.Random(9)
+    sounds = ["ka", "ro", "mi", "lu", "te"]
+    line = lambda: " ".join("".join(rng.choice(sounds) for _ in range(rng.randint(1, 6))) for _ in range(8))
+    long = "\n".join(line() for _ in range(130_000))
+    docs = [(1, long, "aa", "s"), (2, long, "aa", "s"), (3, line(), "aa", "s"), (4, "", "aa", "s"), (5, None, "aa", "s"), (3, None, None, None)]
+    names = ["_id", "_t", "_text", "_ll", "_post", "kept", "n_removed", "_bits", "posterior"]
+    df = spark.createDataFrame([(i, t, a, b, None if t is None else len(t), *range(len(names))) for i, t, a, b in docs], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert df.columns == corpus_pipeline.COLUMNS
+            texts = {r["doc_id"]: r["text"] for r in df.collect()}
+            assert texts[1] == long and set(texts) == {1, 2, 3}
+    sizes = {r["doc_id"]: r["n_tokens"] for r in df.collect()}
+    assert sizes[1] == 8 * 130_000 and sizes[2] == 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
