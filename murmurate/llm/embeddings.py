@@ -13,7 +13,8 @@ from .common import components, lean, release, written
 
 #: The quantisers are fitted on at most SAMPLE rows, those of the smallest hash.
 SAMPLE = 16_384
-#: One inverted list for so many rows, within these bounds.
+#: One inverted list for so many rows of the largest label, within these bounds: only rows of one
+#: label are compared, so more lists would only be more probes.
 ROWS_PER_LIST, MIN_LISTS, MAX_LISTS = 256, 8, 4096
 #: Subspaces and codewords in each.
 SUBSPACES, CODES = 8, 256
@@ -136,8 +137,8 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     good = v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).alias("_id"), F.when(F.coalesce(good, F.lit(False)), v).alias("_v"), F.col(label_col).alias("_label"))
     classes = written(rows.where("_v IS NOT NULL").groupBy("_label", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("mult")))
-    n, dim = classes.agg(F.count("*"), F.max(F.size("_v"))).first()
-    found = _linked(spark, classes, n, dim, threshold) if n else None
+    largest, dim = classes.groupBy("_label").agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("d")).agg(F.max("n"), F.max("d")).first()
+    found = _linked(spark, classes, largest, dim, threshold) if largest else None
     if found is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -150,13 +151,13 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def _linked(spark, classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
+def _linked(spark, classes: DataFrame, largest: int, dim: int, threshold: float) -> DataFrame:
     """``(rep, links, tree)``: per task, linked rows of other classes, and a node of the same part."""
     import numpy as np
 
     dim = math.ceil(dim / SUBSPACES) * SUBSPACES
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
-    lists = max(MIN_LISTS, min(MAX_LISTS, n // ROWS_PER_LIST))
+    lists = max(MIN_LISTS, min(MAX_LISTS, largest // ROWS_PER_LIST))
 
     def matrix(arrays):
         x = np.zeros((len(arrays), dim))
