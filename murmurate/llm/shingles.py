@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 SHINGLE = 5
-_CACHE_WORDS, _CACHE_BYTES = 200_000, 32
+_CACHE_WORDS, _CACHE_BYTES = 100_000, 32
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
