@@ -178,10 +178,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = written(labels.join(seen, "node").select("node", "component", F.least("component", "near").alias("hook")))
         moved = hooked.where("hook < component").groupBy(F.col("component").alias("node")).agg(F.min("hook").alias("hook"))
         pointers = hooked.select("node", "hook").union(moved).groupBy(F.col("node").alias("hook")).agg(F.min("hook").alias("top"))
-        tops = hooked.select("hook").distinct().join(pointers, "hook").where("top < hook")
+        tops = written(hooked.select("hook").distinct().join(pointers, "hook").where("top < hook"))
         new = F.coalesce("top", "hook")
         nxt = written(hooked.join(tops, "hook", "left").select("node", new.alias("component"), (new != F.col("component")).alias("changed")))
-        release(files, hooked)
+        release(files, hooked, tops)
         labels, files = nxt.select("node", "component"), nxt
         if nxt.where("changed").limit(1).count() == 0:
             release(both)
