@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 HIDDEN, WINDOW, LANES = 24, 24, 512
 #: Fewer lanes learn from few symbols, so that there are about as many updates.
 UPDATES = 64
-#: Positions of a window and lanes while scoring.
-SCORE_WINDOW, SCORE_LANES = 24, 512
+#: Positions of a window, over all lanes, and lanes while scoring.
+SCORE_POSITIONS, SCORE_LANES = 12_288, 512
+#: Rows of the softmax over classes at a time, whose exponentials stay in the processor's cache.
+SOFTMAX_ROWS = 640
 
 
 def word_classes(weights, count: int, most: int = 192):
@@ -41,6 +45,7 @@ class GRU:
         self.words, self.tails, self.hidden = len(word_weights), tails, hidden
         self.n_word_classes = len(self.bounds) - 1
         self.n_classes = 1 + self.n_word_classes + tails
+        self.rooms: dict = {}
         f = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.p = {"in": f(1 + self.words + tails, 3 * hidden), "u": f(hidden, 3 * hidden) * 3, "c": f(hidden, self.n_classes), "cb": np.zeros(self.n_classes, np.float32), "o": f(self.words, hidden), "ob": np.zeros(self.words, np.float32)}
         self.p["in"][:, :hidden] += 0.5
@@ -52,124 +57,202 @@ class GRU:
             self.p["cb"] = np.concatenate(([prior[0]], of, prior[1 + self.words :])).astype(np.float32)
         self.class_of = np.concatenate(([0], np.repeat(np.arange(self.n_word_classes), np.diff(self.bounds)) + 1, np.arange(tails) + 1 + self.n_word_classes)).astype(np.int64)
 
-    def gates(self, h, symbols):
+    def room(self, name: str, *shape):
+        """An array of undefined numbers that is the same memory in every window, as fresh memory costs
+        more than most passes over it. It is good until the next call with this name."""
+        import numpy as np
+
+        n, kind = math.prod(shape), self.p["u"].dtype
+        if name not in self.rooms or len(self.rooms[name]) < n or self.rooms[name].dtype != kind:
+            self.rooms[name] = np.empty(n, kind)
+        return self.rooms[name][:n].reshape(shape)
+
+    def split_in(self):
+        """The inputs' and states' weights of update, reset and candidate one after the other, as
+        ``forward`` takes them: those of both gates halved, as sigmoid(x) = (1 + tanh(x / 2)) / 2."""
         import numpy as np
 
-        k = self.hidden
-        begins = np.flatnonzero(symbols == 0)
-        if len(begins):
-            h = h.copy()
-            h[begins] = 0
-        x, y = self.p["in"][symbols], h @ self.p["u"]
-        zr = x[:, : 2 * k] + y[:, : 2 * k]
-        zr *= zr.dtype.type(0.5)
-        np.tanh(zr, out=zr)
-        zr *= zr.dtype.type(0.5)
-        zr += zr.dtype.type(0.5)
-        z, r = zr[:, :k], zr[:, k:]
-        c = r * y[:, 2 * k :]
-        c += x[:, 2 * k :]
-        np.tanh(c, out=c)
-        new = h - c
-        new *= z
-        new += c
-        return h, z, r, c, y[:, 2 * k :], new
+        found = [np.ascontiguousarray(self.p[n].reshape(-1, 3, self.hidden).transpose(1, 0, 2)) for n in ("in", "u")]
+        for w in found:
+            w[:2] *= 0.5
+        return found
+
+    def forward(self, h, symbols, split):
+        """States [time, lanes, hidden] before and after each of ``symbols`` [time, lanes]; gates and
+        candidates [3, time, lanes, hidden], and what the reset gate multiplies. Each is contiguous:
+        numpy takes several times as long over parts of rows."""
+        import numpy as np
+
+        (w, u), (steps, lanes), k = split, symbols.shape, self.hidden
+        x = self.room("x", 3, steps, lanes, k)
+        for g in range(3):
+            np.take(w[g], symbols, axis=0, out=x[g], mode="clip")
+        before, after, y = (self.room(name, steps, lanes, k) for name in ("before", "after", "y"))
+        zr, ry = self.room("zr", 2, lanes, k), self.room("ry", lanes, k)
+        at, lane = np.nonzero(symbols == 0)
+        cut = np.searchsorted(at, np.arange(steps + 1))
+        for t in range(steps):
+            b = before[t]
+            b[:] = h
+            b[lane[cut[t] : cut[t + 1]]] = 0
+            np.matmul(b, u[:2], out=zr)
+            gate = x[:2, t]
+            gate += zr
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            c = x[2, t]
+            np.matmul(b, u[2], out=y[t])
+            np.multiply(gate[1], y[t], out=ry)
+            c += ry
+            np.tanh(c, out=c)
+            h = after[t]
+            np.subtract(b, c, out=h)
+            h *= gate[0]
+            h += c
+        return before, after, x, y
 
     @staticmethod
-    def softmax(logits, rows, picked):
-        """The picked log-probabilities of rows of logits, which become exponentials in place, and
-        the sums of those."""
+    def spread(h, w, bias, gradient: bool):
+        """Logarithms of the sums of exponentials of each row of ``h w + bias``, and the gradients
+        of their sum by w, bias and h. Biases are factors and sums are divided by after the
+        products, which spares passes over the exponentials."""
         import numpy as np
 
-        if logits.max() > 60:  # only then can an exponential overflow
-            logits -= logits.max(1, keepdims=True)
-        out = logits[rows, picked]
-        np.exp(logits, out=logits)
-        total = logits @ np.ones(logits.shape[1], logits.dtype)
-        out -= np.log(total)
-        return out, total
+        e = h @ w
+        scale = np.exp(bias)
+        np.exp(e, out=e)
+        total = e @ scale
+        log = np.log(total)
+        if not (log.min() > -60 and log.max() < 60):  # too large or too small for such products
+            e = h @ w
+            e += bias
+            top = e.max(1)
+            e -= top[:, None]
+            np.exp(e, out=e)
+            scale = np.ones_like(bias)
+            total = e @ scale
+            log = np.log(total) + top
+        if not gradient:
+            return log, None, None, None
+        inverse = 1 / total
+        dh = e @ (w * scale).T
+        dh *= inverse[:, None]
+        return log, ((h * inverse[:, None]).T @ e) * scale, (inverse @ e) * scale, dh
 
     def log_probs(self, hs, targets, grads=None):
-        """Natural log-probabilities of target symbols (a tail: of its class) after states."""
+        """Natural log-probabilities of target symbols (a tail: of its class) after states; with
+        ``grads`` to fill, their gradients by states too, in memory that the next call uses again."""
         import numpy as np
 
-        p = self.p
-        cls = self.class_of[targets]
-        d = hs @ p["c"]
-        d += p["cb"]
-        rows = np.arange(len(cls))
-        out, total = self.softmax(d, rows, cls)
-        if grads is not None:
-            d /= total[:, None]
-            d[rows, cls] -= 1.0
-            grads["c"], grads["cb"] = hs.T @ d, d.sum(0)
-            dh = d @ p["c"].T
-            grads["o"], grads["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(1, self.n_word_classes + 2))
-        for k in range(self.n_word_classes):
-            a, b = self.bounds[k], self.bounds[k + 1]
-            at = order[cut[k] : cut[k + 1]]
-            if not len(at) or b - a == 1:
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):  # spread sees to them
+            return self._log_probs(hs, targets, grads)
+
+    def _log_probs(self, hs, targets, grads):
+        import numpy as np
+
+        p, n, first = self.p, self.n_word_classes, self.bounds + 1
+        order = np.argsort(targets, kind="stable")
+        t, h = targets[order], np.take(hs, order, axis=0, out=self.room("h", *hs.shape), mode="clip")
+        apart = (np.repeat(np.diff(first), np.diff(first)) > 1)[:, None]  # the only word of a class needs no telling
+        picked, bias = p["c"].T[self.class_of], p["cb"][self.class_of]
+        picked[1 : 1 + self.words] += p["o"] * apart
+        bias[1 : 1 + self.words] += p["ob"] * apart[:, 0]
+        own = np.take(picked, t, axis=0, out=self.room("own", *hs.shape), mode="clip")
+        log = np.einsum("ij,ij->i", h, own) + bias[t]
+        gradient = grads is not None
+        if gradient:
+            dh = np.negative(own, out=own)
+            grads |= {name: np.zeros_like(p[name]) for name in ("c", "cb", "o", "ob")}
+        for a in range(0, len(t), SOFTMAX_ROWS):
+            s = slice(a, a + SOFTMAX_ROWS)
+            total, dw, db, d = self.spread(h[s], p["c"], p["cb"], gradient)
+            log[s] -= total
+            if gradient:
+                grads["c"] += dw
+                grads["cb"] += db
+                dh[s] += d
+        cut = np.searchsorted(t, first)
+        for k in range(n):
+            a, b, s = self.bounds[k], self.bounds[k + 1], slice(cut[k], cut[k + 1])
+            if cut[k] == cut[k + 1] or b - a == 1:
                 continue
-            h = hs[at]
-            d = h @ p["o"][a:b].T
-            d += p["ob"][a:b]
-            rows, word = np.arange(len(at)), targets[at] - 1 - a
-            inside, total = self.softmax(d, rows, word)
-            out[at] += inside
-            if grads is not None:
-                d /= total[:, None]
-                d[rows, word] -= 1.0
-                grads["o"][a:b], grads["ob"][a:b] = d.T @ h, d.sum(0)
-                dh[at] += d @ p["o"][a:b]
-        return (out, dh) if grads is not None else out
+            total, dw, db, d = self.spread(h[s], p["o"][a:b].T, p["ob"][a:b], gradient)
+            log[s] -= total
+            if gradient:
+                grads["o"][a:b], grads["ob"][a:b] = dw.T, db
+                dh[s] += d
+        out = np.empty_like(log)
+        out[order] = log
+        if not gradient:
+            return out
+        if len(t):
+            begins = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            sums, times = np.zeros_like(picked), np.zeros_like(bias)
+            sums[t[begins]] = np.add.reduceat(h, begins, axis=0)
+            times[t[begins]] = np.diff(np.append(begins, len(t)))
+            grads["o"] -= sums[1 : 1 + self.words] * apart
+            grads["ob"] -= times[1 : 1 + self.words] * apart[:, 0]
+            classes = np.flatnonzero(np.diff(self.class_of, prepend=-1))
+            grads["c"] -= np.add.reduceat(sums, classes, axis=0).T
+            grads["cb"] -= np.add.reduceat(times, classes)
+        back = self.room("back", *dh.shape)
+        back[order] = dh
+        return out, back
 
     def window_gradient(self, h, symbols, targets, weights):
         """Log-probabilities, gradients and the last state of a window [lanes, time]: truncated
         backpropagation, the state before the window being a constant."""
         import numpy as np
 
-        k, (lanes, steps) = self.hidden, symbols.shape
-        kept = []
-        hs = np.empty((steps, lanes, k), np.float32)
-        for t in range(steps):
-            kept.append(self.gates(h, symbols[:, t]))
-            h = hs[t] = kept[-1][-1]
-        g: dict = {}
-        flat = hs.reshape(-1, k)
-        real = weights.T.reshape(-1) > 0
-        lp, dh_real = self.log_probs(flat[real], targets.T.reshape(-1)[real], g)
-        dhs = np.zeros_like(flat)
-        dhs[real] = dh_real
-        dhs = dhs.reshape(steps, lanes, k)
-        g["u"] = np.zeros_like(self.p["u"])
-        dx_all = np.empty((steps, lanes, 3 * k), flat.dtype)
-        carry = np.zeros((lanes, k), np.float32)
+        lp, g, (rows, dx), h = self.time_gradient(h, *(np.ascontiguousarray(x.T) for x in (symbols, targets)), weights.T > 0)
+        return lp, g, (rows, dx.transpose(1, 0, 2).reshape(len(rows), -1)), h
+
+    def time_gradient(self, h, symbols, targets, real):
+        """``window_gradient`` for [time, lanes]; the gradients by inputs are [3, time * lanes, hidden]."""
+        import numpy as np
+
+        k, (steps, lanes) = self.hidden, symbols.shape
+        before, after, x, y = self.forward(h, symbols, self.split_in())
+        (z, r, c), g = x, {}
+        if real.all():
+            lp, dhs = self.log_probs(after.reshape(-1, k), targets.reshape(-1), g)
+            dhs = dhs.reshape(steps, lanes, k)
+        else:
+            lp, dh_real = self.log_probs(after[real], targets[real], g)
+            dhs = np.zeros(after.shape, after.dtype)
+            dhs[real] = dh_real
+        # What d, the gradient by a state, is multiplied by to give those by its gates and candidate.
+        rest = np.subtract(1, z, out=self.room("rest", *z.shape))
+        by_z = np.subtract(before, c, out=self.room("by_z", *z.shape))
+        by_z *= rest
+        by_z *= z
+        by_c = np.multiply(c, c, out=c)
+        np.subtract(1, by_c, out=by_c)
+        by_c *= rest
+        by_r = np.subtract(1, r, out=rest)
+        by_r *= r
+        by_r *= y
+        dx, dy = self.room("dx", *x.shape), y
+        u = np.ascontiguousarray(self.p["u"].reshape(k, 3, k).transpose(1, 2, 0))
+        at, lane = np.nonzero(symbols == 0)
+        cut = np.searchsorted(at, np.arange(steps + 1))
+        carry, part = np.zeros((lanes, k), after.dtype), np.empty((lanes, k), after.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, c, y, _ = kept[t]
             d = dhs[t]
             d += carry
-            carry = d * z
-            d -= carry  # d (1 - z)
-            dx = dx_all[t]
-            dz, dr, dc = dx[:, :k], dx[:, k : 2 * k], dx[:, 2 * k :]
-            np.subtract(before, c, out=dz)
-            dz *= d
-            dz *= z
-            np.multiply(c, c, out=dc)
-            np.subtract(1, dc, out=dc)
-            dc *= d
-            np.subtract(1, r, out=dr)
-            dr *= r
-            dr *= y
-            dr *= dc
-            dy = dx.copy()
-            dy[:, 2 * k :] *= r
-            g["u"] += before.T @ dy
-            carry += dy @ self.p["u"].T
-            carry[symbols[:, t] == 0] = 0
-        return lp, g, (symbols.T.reshape(-1), dx_all.reshape(-1, 3 * k)), h
+            dz, dr, dc = dx[:, t]
+            np.multiply(d, by_z[t], out=dz)
+            np.multiply(d, by_c[t], out=dc)
+            np.multiply(dc, by_r[t], out=dr)
+            np.multiply(dc, r[t], out=dy[t])
+            np.multiply(d, z[t], out=carry)
+            for e, w in ((dz, u[0]), (dr, u[1]), (dy[t], u[2])):
+                carry += np.matmul(e, w, out=part)
+            carry[lane[cut[t] : cut[t + 1]]] = 0
+        states = before.transpose(0, 2, 1)
+        g["u"] = np.concatenate([np.matmul(states, d).sum(0) for d in (dx[0], dx[1], dy)], axis=1)
+        return lp, g, (symbols.reshape(-1), dx.reshape(3, -1, k)), after[-1].copy()
 
     def train(self, texts, rate: float = 0.08, lanes: int = LANES, window: int = WINDOW, squares=None):
         """One pass over symbol arrays (each a text, without begin and end), by Adagrad."""
@@ -177,35 +260,47 @@ class GRU:
 
         if squares is None:
             squares = {n: np.full_like(v, 1e-2) for n, v in self.p.items()}
-        flat = np.concatenate([np.zeros(1, np.int64), *(np.append(x, 0) for x in texts)])
+        flat = np.zeros(1 + sum(len(x) + 1 for x in texts), np.int16)
+        at = 1
+        for x in texts:
+            flat[at : at + len(x)] = x
+            at += len(x) + 1
         n = len(flat) - 1
         if n < 1:
             return squares
         lanes = max(1, min(lanes, n // (window * UPDATES)))
         steps = -(-n // lanes)
-        pad = lanes * steps - n
-        inputs = np.append(flat[:-1], np.zeros(pad, np.int64)).reshape(lanes, steps)
-        targets = np.append(flat[1:], np.zeros(pad, np.int64)).reshape(lanes, steps)
-        weights = np.append(np.ones(n, np.float32), np.zeros(pad, np.float32)).reshape(lanes, steps)
+        pad = np.zeros(lanes * steps - n, np.int16)
+        inputs, targets = (np.ascontiguousarray(np.append(x, pad).reshape(lanes, steps).T) for x in (flat[:-1], flat[1:]))
+        real = np.ascontiguousarray((np.arange(lanes * steps) < n).reshape(lanes, steps).T)
         h = np.zeros((lanes, self.hidden), np.float32)
         for at in range(0, steps, window):
             s = slice(at, at + window)
-            if not weights[:, s].any():
+            if not real[s].any():
                 break
-            lp, g, (rows, dx), h = self.window_gradient(h, inputs[:, s], targets[:, s], weights[:, s])
+            lp, g, (rows, dx), h = self.time_gradient(h, inputs[s], targets[s], real[s])
             scale = np.float32(1.0 / max(1, len(lp)) * lanes)
             for name, d in g.items():
-                d = np.clip(d * scale, -5, 5)
+                d *= scale
+                np.clip(d, -5, 5, out=d)
                 squares[name] += d * d
-                self.p[name] -= rate * d / np.sqrt(squares[name])
+                d *= rate
+                d /= np.sqrt(squares[name])
+                self.p[name] -= d
             order = np.argsort(rows, kind="stable")
-            u, first = np.unique(rows[order], return_index=True)
-            d = np.clip(np.add.reduceat(dx[order], first, axis=0) * scale, -5, 5)
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            u = rows[first]
+            d = np.concatenate([np.add.reduceat(np.take(x, order, axis=0), first, axis=0) for x in dx], axis=1)
+            d *= scale
+            np.clip(d, -5, 5, out=d)
             squares["in"][u] += d * d
-            self.p["in"][u] -= rate * d / np.sqrt(squares["in"][u])
+            d *= rate
+            d /= np.sqrt(squares["in"][u])
+            self.p["in"][u] -= d
         return squares
 
-    def score(self, texts, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW):
+    def score(self, texts, lanes: int = SCORE_LANES, window: int | None = None):
         """Natural log-probability of each text's symbols and its end. Texts are laid end to end in
         lanes that run in step; the state is carried through every window of a text."""
         import heapq
@@ -223,6 +318,7 @@ class GRU:
             at[i] = k, used
             heapq.heappush(heap, (used + int(n[i]), k))
         steps = max(used for used, _ in heap)
+        window = window or SCORE_POSITIONS // lanes
         inputs, targets, doc = np.zeros((steps, lanes), np.int16), np.zeros((steps, lanes), np.int16), np.full((steps, lanes), -1, np.int32)
         for i, x in enumerate(texts):
             k, a = at[i]
@@ -230,12 +326,11 @@ class GRU:
             targets[a : a + n[i] - 1, k] = x
             doc[a : a + n[i], k] = i
         total = np.zeros(len(n))
-        h = np.zeros((lanes, self.hidden), np.float32)
+        h, split = np.zeros((lanes, self.hidden), np.float32), self.split_in()
         for a in range(0, steps, window):
             b = min(steps, a + window)
-            hs = np.empty((b - a, lanes, self.hidden), np.float32)
-            for t in range(a, b):
-                h = hs[t - a] = self.gates(h, inputs[t])[-1]
+            hs = self.forward(h, inputs[a:b], split)[1]
+            h = hs[-1].copy()
             d, flat, after = doc[a:b].reshape(-1), hs.reshape(-1, self.hidden), targets[a:b].reshape(-1)
             real = d >= 0
             if not real.all():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ WORDS, TAILS = 2048, 32
 REPLICA_TOKENS, ROUNDS, FAN = 4_000_000, 1, 64
 #: Tokens learnt from at a time, and scored: so many that a long text leaves no lanes idle.
 BATCH_TOKENS, SCORE_TOKENS = 800_000, 4_000_000
+#: Tokens, or one text more, whose words are looked up at a time.
+ENCODE_TOKENS = 65_536
 
 
 def held_out(doc_id) -> bool:
@@ -50,12 +53,14 @@ class Vocabulary:
         self.tail_tokens, self.tail_words = np.asarray(tail_tokens, np.float64), np.asarray(tail_words, np.float64)
         self.base_total = n + 0.1 * (v + 1)
         self.tail_total = self.tail_tokens + 0.1 * (self.tail_words + 1)
-        self.base = np.log10((self.counts + 0.1) / self.base_total)
-        self.end_base = math.log10((ends + 0.1) / self.base_total)
         cls = np.array([tail_class(w) for w in words], np.int64)
-        self.symbol = np.where(np.arange(len(words)) < k, np.arange(len(words)) + 1, k + 1 + cls)
-        # log10 probability of a frequent word inside its tail class; 0 for words told apart
-        self.inside = np.where(np.arange(len(words)) < k, 0.0, np.log10((self.counts + 0.1) / self.tail_total[cls]) if len(words) else 0.0)
+        told = np.arange(len(words)) < k
+        # Of the words, then of the end, then (at -1) of any other word: the symbol, the base's log10
+        # probability, and that of a frequent word inside its tail class, 0 for words told apart.
+        self.index[None] = len(words)
+        self.symbol = np.concatenate((np.where(told, np.arange(len(words)) + 1, k + 1 + cls), [0, 0])).astype(np.int16)
+        self.base = np.concatenate((np.log10((self.counts + 0.1) / self.base_total), [math.log10((ends + 0.1) / self.base_total), 0]))
+        self.inside = np.concatenate((np.where(told, 0.0, np.log10((self.counts + 0.1) / self.tail_total[cls])), [0, 0]))
         self.k = k
 
     def prior(self):
@@ -64,17 +69,17 @@ class Vocabulary:
         c = np.concatenate(([self.ends], self.counts[: self.k], self.tail_tokens)) + 0.1
         return np.log(c / c.sum())
 
-    def encode(self, words: list[bytes]):
-        """Symbols of words, numbers of frequent ones (-1 of others), and the others."""
+    def encode(self, words: list[bytes | None]):
+        """Symbols and numbers of words, None being the end of a text; numbers of others than
+        frequent ones are -1."""
         import numpy as np
 
-        at = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
-        rare = [words[i] for i in np.flatnonzero(at < 0)]
-        if not rare:
-            return self.symbol[at] if len(at) else at, at, rare
-        symbols = np.where(at >= 0, self.symbol[at], 0) if len(self.symbol) else np.zeros(len(at), np.int64)
-        symbols[at < 0] = self.k + 1 + (np.fromiter((w[-1] for w in rare), np.int64, len(rare)) & (TAILS - 1))
-        return symbols, at, rare
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        symbols = self.symbol[at]
+        rare = np.flatnonzero(at < 0)
+        if len(rare):
+            symbols[rare] = [self.k + 1 + tail_class(words[i]) for i in rare.tolist()]
+        return symbols, at
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -246,28 +251,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         vocab = vocabulary.value
         row = TaskContext.get().partitionId() << 33
         rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()), ("t", pa.int32())]))
+
+        def group(ids, tokens, stops):
+            symbols, at = vocab.encode(tokens)
+            starts = np.array([0, *stops[:-1]])
+            missing = at < 0
+            offsets, words, times, classes = [0], [], [], []
+            for a, z, n in zip(starts.tolist(), stops, np.add.reduceat(missing, starts, dtype=np.int64).tolist(), strict=True):
+                if n:
+                    for w, k in Counter([tokens[a + i] for i in np.flatnonzero(missing[a:z]).tolist()]).items():
+                        words.append(w), times.append(k), classes.append(tail_class(w))
+                offsets.append(len(words))
+            known = np.add.reduceat(at >= 0, starts, dtype=np.int64) - (vocab.ends == 0)
+            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()), pa.array(classes, pa.int32())], names=["word", "n", "t"]))
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(np.arange(row, row + len(ids))), pa.array(np.diff(stops, prepend=0)), pa.array(known), pa.array(np.add.reduceat(vocab.base[at], starts)),
+                 pa.array(np.add.reduceat(vocab.inside[at], starts)), pa.array([symbols[a : z - 1].tobytes() for a, z in zip(starts.tolist(), stops, strict=True)], pa.binary()), rare.cast(rare_type)],
+                names=schema.names,
+            )
+
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                ids, texts = b.column(0).slice(lo, 512), b.column(1).slice(lo, 512)
-                symbols, tokens, known, base, inside, offsets, words, times, classes = [], [], [], [], [], [0], [], [], []
-                for x in texts:
-                    s, at, rare = vocab.encode((x.as_py() or "").encode().lower().split())
-                    symbols.append(s.astype(np.int16).tobytes())
-                    tokens.append(len(s) + 1)
-                    frequent = at[at >= 0]
-                    known.append(len(frequent) + (vocab.ends > 0))
-                    base.append(float(vocab.base[frequent].sum()) + vocab.end_base)
-                    inside.append(float(vocab.inside[frequent].sum()))
-                    for w, n in Counter(rare).items():
-                        words.append(w), times.append(n), classes.append(tail_class(w))
-                    offsets.append(len(words))
-                rows = np.arange(row, row + len(ids))
-                row += len(ids)
-                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()), pa.array(classes, pa.int32())], names=["word", "n", "t"]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([held_out(x) for x in ids.to_pylist()]), pa.array(rows), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(inside, pa.float64()), pa.array(symbols, pa.binary()), rare.cast(rare_type)],
-                    names=schema.names,
-                )
+            lo, tokens, stops = 0, [], []
+            for i, x in enumerate(b.column(1)):
+                tokens += (x.as_py() or "").encode().lower().split()
+                tokens.append(None)
+                stops.append(len(tokens))
+                if len(tokens) >= ENCODE_TOKENS or i == b.num_rows - 1:
+                    yield group(b.column(0).slice(lo, len(stops)), tokens, stops)
+                    row += len(stops)
+                    lo, tokens, stops = i + 1, [], []
 
     encoded = written(own.mapInArrow(lean(encode), schema))
     vocabulary.unpersist()
