@@ -113,19 +113,23 @@ class GRU:
         return before, after, x, y
 
     @staticmethod
-    def spread(h, w, bias, gradient: bool):
-        """Logarithms of the sums of exponentials of each row of ``h w + bias``, and the gradients
-        of their sum by w, bias and h. Biases are factors and sums are divided by after the
-        products, which spares passes over the exponentials."""
+    def spread(h, w, bias, picked, gradient: bool):
+        """Log-probabilities of the columns ``picked`` in the softmax of each row of ``h w + bias``, and
+        the gradients of their sum, negated, by w, bias and h. Biases are factors and sums are divided
+        by after the products, which spares passes over the exponentials."""
         import numpy as np
 
         e = h @ w
+        at = np.arange(0, e.size, e.shape[1]) + picked
+        flat = e.reshape(-1)
+        out = flat[at]
+        out += bias[picked]
         scale = np.exp(bias)
         np.exp(e, out=e)
         total = e @ scale
         log = np.log(total)
-        if not (log.min() > -60 and log.max() < 60):  # too large or too small for such products
-            e = h @ w
+        if not (log.min() > -40 and log.max() < 40 and np.abs(bias).max() < 40):  # too large or too small for such products
+            np.matmul(h, w, out=e)
             e += bias
             top = e.max(1)
             e -= top[:, None]
@@ -133,12 +137,14 @@ class GRU:
             scale = np.ones_like(bias)
             total = e @ scale
             log = np.log(total) + top
+        out -= log
         if not gradient:
-            return log, None, None, None
+            return out, None, None, None
+        flat[at] -= total / scale[picked]
         inverse = 1 / total
         dh = e @ (w * scale).T
         dh *= inverse[:, None]
-        return log, ((h * inverse[:, None]).T @ e) * scale, (inverse @ e) * scale, dh
+        return out, ((h * inverse[:, None]).T @ e) * scale, (inverse @ e) * scale, dh
 
     def log_probs(self, hs, targets, grads=None):
         """Natural log-probabilities of target symbols (a tail: of its class) after states; with
@@ -151,34 +157,26 @@ class GRU:
     def _log_probs(self, hs, targets, grads):
         import numpy as np
 
-        p, n, first = self.p, self.n_word_classes, self.bounds + 1
+        p, gradient = self.p, grads is not None
         order = np.argsort(targets, kind="stable")
         t, h = targets[order], np.take(hs, order, axis=0, out=self.room("h", *hs.shape), mode="clip")
-        apart = (np.repeat(np.diff(first), np.diff(first)) > 1)[:, None]  # the only word of a class needs no telling
-        picked, bias = p["c"].T[self.class_of], p["cb"][self.class_of]
-        picked[1 : 1 + self.words] += p["o"] * apart
-        bias[1 : 1 + self.words] += p["ob"] * apart[:, 0]
-        own = np.take(picked, t, axis=0, out=self.room("own", *hs.shape), mode="clip")
-        log = np.einsum("ij,ij->i", h, own) + bias[t]
-        gradient = grads is not None
+        cls, log, dh = self.class_of[t], self.room("log", len(t)), self.room("dh", *hs.shape)
         if gradient:
-            dh = np.negative(own, out=own)
             grads |= {name: np.zeros_like(p[name]) for name in ("c", "cb", "o", "ob")}
         for a in range(0, len(t), SOFTMAX_ROWS):
             s = slice(a, a + SOFTMAX_ROWS)
-            total, dw, db, d = self.spread(h[s], p["c"], p["cb"], gradient)
-            log[s] -= total
+            log[s], dw, db, d = self.spread(h[s], p["c"], p["cb"], cls[s], gradient)
             if gradient:
                 grads["c"] += dw
                 grads["cb"] += db
-                dh[s] += d
-        cut = np.searchsorted(t, first)
-        for k in range(n):
+                dh[s] = d
+        cut = np.searchsorted(t, self.bounds + 1)
+        for k in range(self.n_word_classes):
             a, b, s = self.bounds[k], self.bounds[k + 1], slice(cut[k], cut[k + 1])
             if cut[k] == cut[k + 1] or b - a == 1:
                 continue
-            total, dw, db, d = self.spread(h[s], p["o"][a:b].T, p["ob"][a:b], gradient)
-            log[s] -= total
+            inside, dw, db, d = self.spread(h[s], p["o"][a:b].T, p["ob"][a:b], t[s] - (1 + a), gradient)
+            log[s] += inside
             if gradient:
                 grads["o"][a:b], grads["ob"][a:b] = dw.T, db
                 dh[s] += d
@@ -186,20 +184,20 @@ class GRU:
         out[order] = log
         if not gradient:
             return out
-        if len(t):
-            begins = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            sums, times = np.zeros_like(picked), np.zeros_like(bias)
-            sums[t[begins]] = np.add.reduceat(h, begins, axis=0)
-            times[t[begins]] = np.diff(np.append(begins, len(t)))
-            grads["o"] -= sums[1 : 1 + self.words] * apart
-            grads["ob"] -= times[1 : 1 + self.words] * apart[:, 0]
-            classes = np.flatnonzero(np.diff(self.class_of, prepend=-1))
-            grads["c"] -= np.add.reduceat(sums, classes, axis=0).T
-            grads["cb"] -= np.add.reduceat(times, classes)
         back = self.room("back", *dh.shape)
         back[order] = dh
         return out, back
 
+    @staticmethod
+    def sums(x, first):
+        """Sums of the runs of rows that begin at ``first``; two numbers are added as one complex
+        number where rows are even, which halves the time."""
+        import numpy as np
+
+        if x.shape[1] % 2 or x.dtype != np.float32:
+            return np.add.reduceat(x, first, axis=0)
+        return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32)
+
     def window_gradient(self, h, symbols, targets, weights):
         """Log-probabilities, gradients and the last state of a window [lanes, time]: truncated
         backpropagation, the state before the window being a constant."""
@@ -214,7 +212,7 @@ class GRU:
 
         k, (steps, lanes) = self.hidden, symbols.shape
         before, after, x, y = self.forward(h, symbols, self.split_in())
-        (z, r, c), g = x, {}
+        g: dict = {}
         if real.all():
             lp, dhs = self.log_probs(after.reshape(-1, k), targets.reshape(-1), g)
             dhs = dhs.reshape(steps, lanes, k)
@@ -222,37 +220,35 @@ class GRU:
             lp, dh_real = self.log_probs(after[real], targets[real], g)
             dhs = np.zeros(after.shape, after.dtype)
             dhs[real] = dh_real
-        # What d, the gradient by a state, is multiplied by to give those by its gates and candidate.
-        rest = np.subtract(1, z, out=self.room("rest", *z.shape))
-        by_z = np.subtract(before, c, out=self.room("by_z", *z.shape))
-        by_z *= rest
-        by_z *= z
-        by_c = np.multiply(c, c, out=c)
-        np.subtract(1, by_c, out=by_c)
-        by_c *= rest
-        by_r = np.subtract(1, r, out=rest)
-        by_r *= r
-        by_r *= y
-        dx, dy = self.room("dx", *x.shape), y
+        # Gradients take the places of what they are made from, a step at a time, while the cache holds them.
         u = np.ascontiguousarray(self.p["u"].reshape(k, 3, k).transpose(1, 2, 0))
+        by_u = np.zeros_like(u)
         at, lane = np.nonzero(symbols == 0)
         cut = np.searchsorted(at, np.arange(steps + 1))
         carry, part = np.zeros((lanes, k), after.dtype), np.empty((lanes, k), after.dtype)
         for t in range(steps - 1, -1, -1):
-            d = dhs[t]
+            b, d, (z, r, c), dy = before[t], dhs[t], x[:, t], y[t]
             d += carry
-            dz, dr, dc = dx[:, t]
-            np.multiply(d, by_z[t], out=dz)
-            np.multiply(d, by_c[t], out=dc)
-            np.multiply(dc, by_r[t], out=dr)
-            np.multiply(dc, r[t], out=dy[t])
-            np.multiply(d, z[t], out=carry)
-            for e, w in ((dz, u[0]), (dr, u[1]), (dy[t], u[2])):
+            np.multiply(d, z, out=carry)
+            d -= carry  # d (1 - z)
+            np.subtract(b, c, out=part)
+            part *= d
+            z *= part
+            c *= c
+            np.subtract(1, c, out=c)
+            c *= d
+            np.subtract(1, r, out=part)
+            part *= r
+            part *= dy
+            part *= c
+            np.multiply(c, r, out=dy)
+            r[:] = part
+            for e, w, total in zip((z, r, dy), u, by_u, strict=True):
                 carry += np.matmul(e, w, out=part)
+                total += b.T @ e
             carry[lane[cut[t] : cut[t + 1]]] = 0
-        states = before.transpose(0, 2, 1)
-        g["u"] = np.concatenate([np.matmul(states, d).sum(0) for d in (dx[0], dx[1], dy)], axis=1)
-        return lp, g, (symbols.reshape(-1), dx.reshape(3, -1, k)), after[-1].copy()
+        g["u"] = np.concatenate(by_u, axis=1)
+        return lp, g, (symbols.reshape(-1), x.reshape(3, -1, k)), after[-1].copy()
 
     def train(self, texts, rate: float = 0.08, lanes: int = LANES, window: int = WINDOW, squares=None):
         """One pass over symbol arrays (each a text, without begin and end), by Adagrad."""
@@ -291,7 +287,8 @@ class GRU:
             rows = rows[order]
             first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
             u = rows[first]
-            d = np.concatenate([np.add.reduceat(np.take(x, order, axis=0), first, axis=0) for x in dx], axis=1)
+            room = self.room("ordered", *dx.shape[1:])
+            d = np.concatenate([self.sums(np.take(x, order, axis=0, out=room, mode="clip"), first) for x in dx], axis=1)
             d *= scale
             np.clip(d, -5, 5, out=d)
             squares["in"][u] += d * d
