@@ -109,12 +109,16 @@ def env_pairs(spark, sf_dir):
 
 
 def log_replay(spark, sf_dir):
-    """The log lines by way of a stream that reads all there is and ends."""
+    """The log lines by way of a stream that reads all there is and ends. What it makes of them goes
+    to Parquet files, for the driver could not hold it; the folder is deleted when the session ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="murmurate-logs-")
-    name = f"log_replay_{uuid.uuid4().hex}"
-    _log_lines(spark, sf_dir).select("value").write.text(f"{shared}/{name}")
-    write_logs(classify_logs(log_stream(spark, f"{shared}/{name}")), f"{shared}/{name}-checkpoint", name=name, available_now=True).awaitTermination()
-    return spark.table(name).groupBy("class").agg(F.count("*").alias("n"))
+    folder = f"{shared}/log_replay_{uuid.uuid4().hex}"
+    _log_lines(spark, sf_dir).select("value").write.text(f"{folder}/lines")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # a folder must be there
+    classified = classify_logs(log_stream(spark, f"{folder}/lines"))
+    write_logs(classified, f"{folder}/checkpoint", path=f"{folder}/classified", available_now=True).awaitTermination()
+    return spark.read.schema(classified.schema).parquet(f"{folder}/classified").groupBy("class").agg(F.count("*").alias("n"))
 
 
 def param_query(spark, sf_dir):

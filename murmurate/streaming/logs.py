@@ -24,7 +24,8 @@ def classify_logs(lines: DataFrame, column: str = "value", keep_ports: bool = Fa
 
 
 def write_logs(stream: DataFrame, checkpoint: str, path: str | None = None, name: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Write a classified stream to Parquet files at ``path``, a memory table ``name``, or the console."""
+    """Write a classified stream to Parquet files at ``path``, a memory table ``name`` (all of it in
+    the driver's memory, hence for small streams), or the console."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.format("parquet").option("path", path) if path else writer.format("memory").queryName(name) if name else writer.format("console")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
